@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import fixed_values as fixed
 
-# Java's \s is ASCII-only; values scraped from pages also carry these Unicode spaces.
-SPACE = (
-    r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+# Whitespace beyond what SQL trim knows: control whitespace, no-break and other Unicode spaces, BOM.
+SPACES = "".join(
+    map(
+        chr,
+        [
+            *(0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B)),
+            *(0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF),
+        ],
+    )
 )
 
 # \b would treat accented letters as word characters, hence explicit ASCII look-arounds.
@@ -28,11 +34,11 @@ def filled(value: Column) -> Column:
 
 
 def trim_space(value: Column) -> Column:
-    return F.regexp_replace(value, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def collapse_space(value: Column) -> Column:
-    return F.regexp_replace(value, rf"{SPACE}+", " ")
+    return F.regexp_replace(F.translate(value, SPACES, " " * len(SPACES)), " {2,}", " ")
 
 
 def text(value: Column) -> Column:
@@ -55,13 +61,14 @@ def phone(value: Column) -> Column:
 
 
 def state_lookup() -> Column:
-    """All spellings as one constant-folded map literal."""
-    return F.create_map(*[F.lit(x) for pair in fixed.state_codes().items() for x in pair])
+    """All spellings as one map, folded to a literal by the optimizer."""
+    pairs = ",".join(f"{spelling}:{code}" for spelling, code in fixed.state_codes().items())
+    return F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":"))
 
 
 def state(value: Column) -> Column:
     """USPS code of a state or of a "City, ST" location; unknown values upper-cased."""
-    no_dots = F.regexp_replace(trim_space(filled(value)), r"\.+\z", "")
+    no_dots = F.rtrim(trim_space(filled(value)), F.lit("."))
     cleaned = F.lower(collapse_space(no_dots))
     last_part = trim_space(F.substring_index(cleaned, ",", -1))
     codes = state_lookup()

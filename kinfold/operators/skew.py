@@ -66,20 +66,32 @@ def number_rows(
     )
 
 
-def offset_units(df: DataFrame, units: Sequence[str], at: str, name: str) -> DataFrame:
+def offset_units(
+    df: DataFrame, units: Sequence[str], at: str, name: str, skip: Column | None = None
+) -> DataFrame:
     """Turn per-unit increasing numbers ``at`` into one dense numbering across ordered units.
 
-    ``df`` must be stored, so that both reads see the same numbers. The window runs over one row
-    per unit (a file split or a partition), never over the rows themselves.
+    ``skip`` leading rows of a unit (a header line) are dropped and take no number. ``df`` must be
+    stored, so that both reads see the same numbers. The window runs over one row per unit (a file,
+    a file split or a partition), never over the rows themselves.
     """
     units = list(units)
+    skip = F.lit(0) if skip is None else skip
     sizes = df.groupBy(*units).agg(F.count("*").alias("_n"), F.min(at).alias("_first"))
     before = Window.orderBy(*units).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *units, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    offsets = sizes.withColumn("_skip", skip).select(
+        *units,
+        "_first",
+        "_skip",
+        F.coalesce(F.sum(F.col("_n") - F.col("_skip")).over(before), F.lit(0)).alias("_offset"),
+    )
+    row = F.col(at) - F.col("_first")
+    return (
+        df.join(offsets, units)
+        .where(row >= F.col("_skip"))
+        .withColumn(name, F.col("_offset") + row - F.col("_skip") + 1)
+        .drop(*units, at, "_first", "_skip", "_offset")
     )
-    position = F.col("_offset") + F.col(at) - F.col("_first") + 1
-    return df.join(offsets, units).withColumn(name, position).drop(*units, at, "_first", "_offset")
 
 
 def running_total(df: DataFrame, number: str, value: Column, name: str, width: int = 4096) -> DataFrame:

@@ -61,11 +61,19 @@ def fragment_columns(source: str) -> dict[str, str]:
     }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, if the scan has fewer splits than cores (small files); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fragments(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """Rows of one source under neutral column names, with the truth label."""
+    table, key, _ = BINDINGS[source]
     columns = fragment_columns(source)
-    table = spark.read.parquet(f"{sf_dir}/{BINDINGS[source][0]}.parquet")
-    return table.selectExpr(*[f"{sql} as {name}" for name, sql in columns.items()])
+    used = [key] + ["o_custkey"] * (source == "C")
+    rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*used))
+    return rows.selectExpr(*[f"{sql} as {name}" for name, sql in columns.items()])
 
 
 NEUTRAL = {"company": "company", "contactName": "contact", "email": "email", "phone": "phone", "state": "state"}
