@@ -476,7 +476,7 @@ def oracle_sql() -> dict[str, str]:
         {
             "record id": "select id from std group by id having count(*) > 1",
             "entity member": "select entity_id from members group by entity_id, record_id having count(*) > 1",
-            "provenance field": "select entity_id from provenance group by entity_id, field having count(*) > 1",
+            "provenance key": "select entity_id from provenance group by entity_id, field having count(*) > 1",
             "provenance rows": f"select entity_id from provenance group by entity_id having count(*) <> 5"
             f" or count(*) filter (where field in {fields}) <> 5",
         }
