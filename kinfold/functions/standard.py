@@ -90,8 +90,13 @@ def canonical_company(value: Column) -> Column:
 
 def block_key(company: Column, email_value: Column) -> Column:
     """First two significant company words, else the email domain, else a shared bucket."""
-    front = F.substring_index(canonical_company(company), " ", 2)
-    domain = F.get(F.split(email(email_value), "@"), F.lit(1))
+    return block_key_of(canonical_company(company), email(email_value))
+
+
+def block_key_of(canonical: Column, standard_email: Column) -> Column:
+    """The block key from values that are standardised already."""
+    front = F.substring_index(canonical, " ", 2)
+    domain = F.get(F.split(standard_email, "@"), F.lit(1))
     return F.coalesce(F.nullif(front, F.lit("")), domain, F.lit(fixed.UNBLOCKED))
 
 

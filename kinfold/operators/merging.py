@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import fixed_values as fixed
 from kinfold.functions import standard
+from kinfold.operators import skew
 from kinfold.operators.standardize import node_record_id, node_source
 
 LONG_WORD = r"[^ ]*\p{L}[^ ]*\p{L}[^ ]*"
 
 
-def completeness(field: str, value: Column) -> Column:
+def completeness(field: str) -> Column:
     """Larger for the fuller value of a field."""
+    value = F.col(field)
     if field == "company":
-        canonical = standard.canonical_company(value)
-        return F.when(canonical == "", 0).otherwise(F.size(F.split(canonical, " ")))
+        words = F.size(F.split("canonical", " "))
+        return F.when(F.col("canonical") == "", 0).otherwise(words)
     if field == "contactName":
         return F.regexp_count(value, F.lit(LONG_WORD))
     if field == "email":
@@ -34,10 +36,11 @@ def completeness(field: str, value: Column) -> Column:
     return standard.is_state_code(value).cast("int")
 
 
-def compared(field: str, value: Column) -> Column:
+def compared(field: str, prefix: str = "") -> Column:
     """The form in which two values of a field count as equal."""
     if field == "company":
-        return standard.canonical_company(value)
+        return F.col(f"{prefix}canonical")
+    value = F.col(prefix + field)
     return F.lower(value) if field == "contactName" else value
 
 
@@ -51,7 +54,7 @@ def candidate(field: str, priority: Mapping[str, int]) -> Column:
     length = F.length(value) if field == "contactName" else F.lit(0)
     return F.struct(
         (value == "").cast("int").alias("blank"),
-        (-completeness(field, value)).alias("less_complete"),
+        (-completeness(field)).alias("less_complete"),
         (-length).alias("shorter"),
         authority.alias("authority"),
         F.col("node").alias("node"),
@@ -59,20 +62,24 @@ def candidate(field: str, priority: Mapping[str, int]) -> Column:
     )
 
 
-def distinct_values(resolved: DataFrame, priority: Mapping[str, int]) -> DataFrame:
-    """Per entity, field and compared value: how many members carry it, and the best offer."""
-    offers = F.array(
+def offers(priority: Mapping[str, int]) -> Column:
+    """A record's five offers as ``(field, form, offer)``."""
+    return F.array(
         *[
             F.struct(
                 F.lit(f).alias("field"),
-                compared(f, F.col(f)).alias("form"),
+                compared(f).alias("form"),
                 candidate(f, priority).alias("offer"),
             )
             for f in fixed.UNIFIED_FIELDS
         ]
     )
+
+
+def distinct_values(resolved: DataFrame, priority: Mapping[str, int]) -> DataFrame:
+    """Per entity, field and compared value: how many members carry it, and the best offer."""
     return (
-        resolved.select("root", F.inline(offers))
+        resolved.select("root", F.inline(offers(priority)))
         .groupBy("root", "field", "form", F.col("offer.blank").alias("blank"))
         .agg(F.count("*").alias("n"), F.min("offer").alias("offer"))
     )
@@ -83,7 +90,7 @@ def _joined(parts: list[Column]) -> Column:
 
 
 def merge_linked(linked: DataFrame, priority: Mapping[str, int]) -> DataFrame:
-    """Merge clusters of two or more records: two aggregations, both combining map-side."""
+    """Merge clusters of two or more records, by two aggregations."""
     values = distinct_values(linked, priority)
     filled = F.col("blank") == 0
     aggregates = [F.sum(F.when(F.col("field") == "company", F.col("n"))).alias("member_count")]
@@ -149,13 +156,31 @@ def merge_single(single: DataFrame) -> DataFrame:
     )
 
 
-def merge(resolved: DataFrame, priority: Mapping[str, int] | None = None) -> DataFrame:
+def by_cluster(
+    resolved: DataFrame, n_records: int, heavy_rows: int | None
+) -> list[DataFrame]:
+    """The records in parts ready for aggregation by ``root``.
+
+    Ordinary clusters move once, as whole records, and both merge aggregations then find them
+    together. Heavy clusters stay where they are, for aggregates that combine before they shuffle.
+    """
+    ordinary, heavy = skew.split_heavy(resolved, "root", n_records, heavy_rows)
+    return [ordinary.repartition("root")] + ([] if heavy is None else [heavy])
+
+
+def merge(
+    resolved: DataFrame,
+    n_records: int,
+    priority: Mapping[str, int] | None = None,
+    heavy_rows: int | None = None,
+) -> DataFrame:
     """One row per entity: values, the node each value came from, confidence, reasoning."""
     priority = fixed.SOURCE_PRIORITY if priority is None else priority
-    merged = merge_linked(resolved.where("linked"), priority)
-    return merged.unionByName(merge_single(resolved.where("not linked"))).withColumn(
-        "entity_id", node_record_id(F.col("root"))
-    )
+    linked = by_cluster(resolved.where("linked"), n_records, heavy_rows)
+    parts = [merge_linked(part, priority) for part in linked]
+    parts.append(merge_single(resolved.where("not linked")))
+    merged = reduce(DataFrame.unionByName, parts)
+    return merged.withColumn("entity_id", node_record_id(F.col("root")))
 
 
 def entities(merged: DataFrame) -> DataFrame:
@@ -188,15 +213,19 @@ def entity_members(resolved: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["entity_id", "record_id"])
 
 
-def field_winners(resolved: DataFrame, priority: Mapping[str, int] | None = None) -> DataFrame:
-    """Winner per entity and field, in long form."""
+def field_winners(
+    resolved: DataFrame,
+    n_records: int,
+    priority: Mapping[str, int] | None = None,
+    heavy_rows: int | None = None,
+) -> DataFrame:
+    """Winner per entity and field, in long form, with the record it came from."""
     priority = fixed.SOURCE_PRIORITY if priority is None else priority
-    best = (
-        distinct_values(resolved, priority)
-        .groupBy("root", "field")
-        .agg(F.min("offer").alias("offer"))
-    )
-    return best.select(
+    best = [
+        part.select("root", F.inline(offers(priority))).groupBy("root", "field").agg(F.min("offer").alias("offer"))
+        for part in by_cluster(resolved, n_records, heavy_rows)
+    ]
+    return reduce(DataFrame.unionByName, best).select(
         node_record_id(F.col("root")).alias("entity_id"),
         "field",
         node_source(F.col("offer.node")).alias("source"),

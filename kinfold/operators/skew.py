@@ -16,6 +16,28 @@ HEAVY_ROWS = 1_000_000
 HEAVY_KEYS = 1024
 
 
+def heavy_bound(rows: int, heavy_rows: int | None = None) -> int | None:
+    """Row count above which a key is heavy, or None when ``rows`` is too small for any."""
+    heavy_rows = HEAVY_ROWS if heavy_rows is None else heavy_rows
+    return None if rows <= heavy_rows else max(heavy_rows, rows // HEAVY_KEYS)
+
+
+def split_heavy(
+    df: DataFrame, key: str, rows: int, heavy_rows: int | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of heavy keys (None if there cannot be any).
+
+    Ordinary rows may be moved to one partition per key; heavy ones only meet map-side combining
+    aggregates, which shrink them before they move.
+    """
+    bound = heavy_bound(rows, heavy_rows)
+    if bound is None:
+        return df, None
+    sizes = df.groupBy(key).agg(F.count("*").alias("_rows"))
+    heavy = F.broadcast(sizes.where(F.col("_rows") > bound).select(key))
+    return df.join(heavy, key, "left_anti"), df.join(heavy, key, "left_semi")
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -33,10 +55,10 @@ def lookup_join(
     ``heavy_rows`` no key can be heavy and one plain join is planned. ``rows_column`` is dropped.
     """
     keys = list(keys)
-    heavy_rows = HEAVY_ROWS if heavy_rows is None else heavy_rows
-    if left_rows <= heavy_rows:
+    bound = heavy_bound(left_rows, heavy_rows)
+    if bound is None:
         return left.join(right.drop(rows_column), keys, how)
-    is_heavy = F.col(rows_column) > max(heavy_rows, left_rows // HEAVY_KEYS)
+    is_heavy = F.col(rows_column) > bound
     heavy = right.where(is_heavy).drop(rows_column)
     light = right.where(~is_heavy).drop(rows_column)
     by_broadcast = left.join(F.broadcast(heavy), keys)

@@ -45,24 +45,32 @@ def standardize(
     ordinal: str = "ordinal",
     sources: Sequence[str] = fixed.SOURCES,
 ) -> DataFrame:
-    """Standard records of one source: canonical fields by ``mapping``, raw kept, block key."""
+    """Standard records of one source: canonical fields by ``mapping``, raw kept, block key.
+
+    ``canonical`` keeps the company's significant words, which blocking and merging compare.
+    """
     mapping = fixed.DEFAULT_MAPPINGS[source] if mapping is None else mapping
     by_field = {field: column for column, field in mapping.items()}
 
-    def canonical(field: str) -> Column:
+    def field_value(field: str) -> Column:
         column = F.col(f"`{by_field[field]}`") if field in by_field else F.lit("")
         return standard.STANDARDISERS[field](column.cast("string")).alias(field)
 
     number = F.col(ordinal).cast("long")
     raw_columns = [c for c in raw.columns if c != ordinal]
-    return raw.select(
+    fields = raw.select(
         node_number(F.lit(source), number, sources).alias("node"),
         F.concat(F.lit(source), number.cast("string")).alias("id"),
         F.lit(source).alias("source"),
         number.alias("ordinal"),
         raw_map(raw_columns).alias("raw"),
-        *[canonical(f) for f in fixed.UNIFIED_FIELDS],
-    ).withColumn("block_key", standard.block_key(F.col("company"), F.col("email")))
+        *[field_value(f) for f in fixed.UNIFIED_FIELDS],
+    )
+    # projected in steps, so that no regex runs twice on a value
+    canonical = fields.withColumn("canonical", standard.canonical_company(F.col("company")))
+    return canonical.withColumn(
+        "block_key", standard.block_key_of(F.col("canonical"), F.col("email"))
+    )
 
 
 def standardize_all(

@@ -157,19 +157,22 @@ def member_scores(
         "root",
         "entity_id",
         *[F.col(f).alias(f"won_{f}") for f in fixed.UNIFIED_FIELDS],
+        standard.canonical_company(F.col("company")).alias("won_canonical"),
         F.col("member_count").alias("_rows"),
     )
-    rows = resolved.where("linked").select("root", F.col("id").alias("record_id"), *fixed.UNIFIED_FIELDS)
+    rows = resolved.where("linked").select(
+        "root", F.col("id").alias("record_id"), *fixed.UNIFIED_FIELDS, "canonical"
+    )
     paired = skew.lookup_join(rows, golden, ["root"], "_rows", n_records, "inner", heavy_rows)
 
     def same(f: str) -> Column:
-        mine, won = merging.compared(f, F.col(f)), merging.compared(f, F.col(f"won_{f}"))
-        return ((mine == won) & (F.col(f) != "")).cast("int").alias(f"same_{f}")
+        equal = merging.compared(f) == merging.compared(f, "won_")
+        return (equal & (F.col(f) != "")).cast("int").alias(f"same_{f}")
 
-    def words(f: str) -> Column:
-        return F.array_distinct(F.array_remove(F.split(standard.canonical_company(F.col(f)), " "), ""))
+    def words(canonical: str) -> Column:
+        return F.array_distinct(F.array_remove(F.split(canonical, " "), ""))
 
-    mine, won = words("company"), words("won_company")
+    mine, won = words("canonical"), words("won_canonical")
     either = F.size(F.array_union(mine, won))
     return paired.select(
         "entity_id",

@@ -292,7 +292,7 @@ def clusters(spark, sf_dir):
 
 def field_provenance(spark, sf_dir):
     unified, _ = run(spark, sf_dir)
-    return merging.field_winners(unified.resolved)
+    return merging.field_winners(unified.resolved, unified.n_records)
 
 
 def pair_scores(spark, sf_dir):

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from kinfold.functions import fixed_values as fixed
 from kinfold.operators import clustering, linking, merging
 from kinfold.operators.standardize import standardize_all
 from kinfold.operators.workspace import Workspace
 
 LINKING_COLUMNS = (
-    "node", "id", "source", "ordinal", "company", "contactName", "email", "phone", "state", "block_key",
+    "node", "id", "source", "ordinal", *fixed.UNIFIED_FIELDS, "canonical", "block_key",
 )
 
 
@@ -42,7 +43,7 @@ def unify_records(
     slim = records.select(*LINKING_COLUMNS)
     edges = linking.link_edges(slim, n_records, heavy_rows)
     resolved = workspace.stage(clustering.cluster(slim, edges, workspace, heavy_rows), "resolved")
-    merged = workspace.stage(merging.merge(resolved, priority), "merged")
+    merged = workspace.stage(merging.merge(resolved, n_records, priority, heavy_rows), "merged")
     return Unified(workspace, records, n_records, resolved, merged)
 
 

@@ -31,6 +31,7 @@ def as_records(spark, rows):
     df = (
         spark.createDataFrame([tuple(r.values()) for r in full], SCHEMA)
         .withColumn("node", node_number(F.col("source"), F.col("ordinal")))
+        .withColumn("canonical", standard.canonical_company(F.col("company")))
         .withColumn("block_key", standard.block_key(F.col("company"), F.col("email")))
         .withColumn("raw", F.create_map(F.lit("company"), F.col("company")))
     )
@@ -170,7 +171,7 @@ def test_conflict_rule_in_spark(spark, workspace):
     plain, df = as_records(spark, rows)
     unified = unify_records(df, workspace)
     assert merged_as_dict(unified) == brute_force.merge(plain)
-    won = {r.field: (r.source, r.value) for r in merging.field_winners(unified.resolved).collect()}
+    won = {r.field: (r.source, r.value) for r in merging.field_winners(unified.resolved, 3).collect()}
     assert won == {
         "company": ("C", "Zen Tools & Sons"),
         "contactName": ("C", "Ann Lee"),
