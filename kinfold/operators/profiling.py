@@ -31,17 +31,21 @@ def column_profile(records: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     value = F.col("value")
-    known_state = standard.is_state_code(standard.state(value))
-    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    has_letter = value.rlike(LETTER)
-    detected = values.select(
+    probed = values.select(
+        "*",
+        standard.is_state_code(standard.state(value)).alias("known_state"),
+        F.length(F.regexp_replace(value, "[^0-9]", "")).alias("digits"),
+        value.rlike(LETTER).alias("has_letter"),
+    )
+    has_letter, known_state = F.col("has_letter"), F.col("known_state")
+    detected = probed.select(
         "source",
         "column_name",
         "n",
         F.length(value).alias("length"),
         (standard.trim_space(value) != "").alias("is_filled"),
         standard.email(value).rlike(fixed.EMAIL_SHAPE).alias("email"),
-        (digits.between(10, 11) & ~has_letter).alias("phone"),
+        (F.col("digits").between(10, 11) & ~has_letter).alias("phone"),
         known_state.alias("state"),
         F.lower(value).rlike(standard.SUFFIX_PATTERN).alias("suffix"),
         (has_letter & ~value.contains("@") & ~known_state).alias("name"),

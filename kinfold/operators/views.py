@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,22 +126,31 @@ def field_conflicts(
     resolved: DataFrame, n_records: int, heavy_rows: int | None = None
 ) -> DataFrame:
     """Distinct non-blank values, and who says so, of every field on which members disagree."""
-    pairs = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fixed.UNIFIED_FIELDS]
-    )
-    values = (
-        resolved.where("linked")
-        .select("root", source_bits(F.col("source")).alias("bits"), F.inline(pairs))
-        .where("value <> ''")
-        .groupBy("root", "field", "value")
-        .agg(F.count("*").alias("n_records"), F.bit_or("bits").alias("bits"))
-    )
-    disputed = (
-        values.groupBy("root", "field").agg(F.count("*").alias("n_values")).where("n_values > 1")
-    ).withColumn("_rows", F.col("n_values"))
-    left_rows = len(fixed.UNIFIED_FIELDS) * n_records
-    rows = skew.lookup_join(values, disputed, ["root", "field"], "_rows", left_rows, "inner", heavy_rows)
-    return rows.select(
+
+    def values(records: DataFrame) -> DataFrame:
+        pairs = F.array(
+            *[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fixed.UNIFIED_FIELDS]
+        )
+        return (
+            records.select("root", source_bits(F.col("source")).alias("bits"), F.inline(pairs))
+            .where("value <> ''")
+            .groupBy("root", "field", "value")
+            .agg(F.count("*").alias("n_records"), F.bit_or("bits").alias("bits"))
+        )
+
+    ordinary, *heavy = merging.by_cluster(resolved.where("linked"), n_records, heavy_rows)
+    # in place: an ordinary cluster's records share a partition, and its group size is bounded
+    together = Window.partitionBy("root", "field")
+    parts = [values(ordinary).withColumn("n_values", F.count("*").over(together))]
+    for records in heavy:
+        found = values(records)
+        counted = found.groupBy("root", "field").agg(F.count("*").alias("n_values"))
+        counted = counted.withColumn("_rows", F.col("n_values"))
+        left_rows = len(fixed.UNIFIED_FIELDS) * n_records
+        parts.append(
+            skew.lookup_join(found, counted, ["root", "field"], "_rows", left_rows, "inner", heavy_rows)
+        )
+    return reduce(DataFrame.unionByName, parts).where("n_values > 1").select(
         node_record_id(F.col("root")).alias("entity_id"),
         "field",
         "value",
@@ -196,22 +207,23 @@ def source_samples(records: DataFrame, rows: int = fixed.SAMPLE_ROWS) -> DataFra
     )
 
 
-EMAIL_IN_TEXT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE_IN_TEXT = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+# kind -> (text that every match contains, pattern); the possessive ++ keeps long words linear
+CONTACT_PATTERNS = {
+    "email": ("@", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    "phone": ("+1 (", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"),
+}
 
 
 def contacts_in_text(documents: DataFrame) -> DataFrame:
     """Standardised emails and phones found in whole texts, with how often each occurs."""
-    found = F.concat(
-        F.transform(
-            F.regexp_extract_all("text", F.lit(EMAIL_IN_TEXT), F.lit(0)),
-            lambda x: F.struct(F.lit("email").alias("kind"), x.alias("found")),
-        ),
-        F.transform(
-            F.regexp_extract_all("text", F.lit(PHONE_IN_TEXT), F.lit(0)),
-            lambda x: F.struct(F.lit("phone").alias("kind"), x.alias("found")),
-        ),
-    )
+
+    def matches(kind: str) -> Column:
+        needle, pattern = CONTACT_PATTERNS[kind]
+        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        hits = F.when(F.col("text").contains(needle), hits).otherwise(F.array().cast("array<string>"))
+        return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
+
+    found = F.concat(*[matches(kind) for kind in CONTACT_PATTERNS])
     value = F.when(F.col("kind") == "email", standard.email(F.col("found"))).otherwise(
         standard.phone(F.col("found"))
     )

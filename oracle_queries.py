@@ -7,6 +7,7 @@ recursive closure, state codes by joins, company names in the stated order of st
 from __future__ import annotations
 
 from kinfold.functions import fixed_values as fixed
+from kinfold.operators.views import CONTACT_PATTERNS
 from kinfold.plans import driver_tables as tables
 
 FIELDS = fixed.UNIFIED_FIELDS
@@ -339,11 +340,10 @@ def oracle_sql() -> dict[str, str]:
     q["standardize_all"] = STD_ + f"select id, source, {FIELD_LIST}, block_key from std"
     q["apply_mapping"] = q["standardize_all"]
     q["raw_roundtrip"] = STD_ + "select id, raw_json, 5 as n_columns, true as same from std"
-    from kinfold.operators.views import EMAIL_IN_TEXT, PHONE_IN_TEXT
-
+    patterns = {kind: p.replace("++", "+") for kind, (_, p) in CONTACT_PATTERNS.items()}
     q["doc_contacts"] = f"""with found as (
-      select doc_id, 'email' as kind, unnest(regexp_extract_all(text, '{EMAIL_IN_TEXT}')) as found from documents
-      union all select doc_id, 'phone', unnest(regexp_extract_all(text, '{PHONE_IN_TEXT}')) from documents)
+      select doc_id, 'email' as kind, unnest(regexp_extract_all(text, '{patterns['email']}')) as found from documents
+      union all select doc_id, 'phone', unnest(regexp_extract_all(text, '{patterns['phone']}')) from documents)
     select kind, case when kind = 'email' then {email('found')} else {phone('found')} end as value,
       count(*) as n_mentions, count(distinct doc_id) as n_documents from found group by 1, 2"""
     q["spec_count_state"] = MERGED_ + "select count(*) as count from entities where state = 'CA'"

@@ -1,0 +1,126 @@
+"""Stored tables, mapping inference, plans, and every query against its SQL."""
+
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from kinfold.functions import fixed_values as fixed
+from kinfold.operators import profiling, views
+from kinfold.operators.standardize import standardize_all
+from kinfold.operators.workspace import Workspace, shared_folder
+from kinfold.plans import driver_tables, queries
+from kinfold.plans.unify import unify_records
+from kinfold.sources import sinks
+from tests.oracle_check import difference, duck
+from tests.test_unify import as_records, made_up
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def engine():
+    return duck(SF)
+
+
+@pytest.mark.parametrize("name", entry.queries())
+def test_query_equals_its_sql(spark, engine, name):
+    assert difference(spark, engine, SF, name) is None
+
+
+def test_flagship(spark):
+    view = entry.entry(spark)
+    assert view.count() > 0
+    assert "provenance" in view.columns
+
+
+def test_publish_whole_versions(spark, workspace, tmp_path):
+    root = str(tmp_path / "published")
+    _, df = as_records(spark, made_up(4, 40))
+    unified = unify_records(df, workspace)
+    first = sinks.publish(unified, root)
+    before = {n: t.count() for n, t in sinks.read_published(spark, root).items()}
+    assert before["source_records"] == 40 and before["entity_members"] == 40
+    assert before["field_provenance"] == 5 * before["entities"]
+    with pytest.raises(Exception):
+        sinks.publish(type("Broken", (), {"merged": unified.merged, "records": df.drop("raw")})(), root)
+    assert sinks.published_path(spark, root).endswith(first)
+    second = sinks.publish(unified, root)
+    assert second != first and sinks.published_path(spark, root).endswith(second)
+    after = {n: t.count() for n, t in sinks.read_published(spark, root).items()}
+    assert after == before
+
+
+def test_stored_records_keep_the_last_version_of_an_id(spark, tmp_path):
+    _, df = as_records(spark, made_up(2, 6))
+    doubled = df.union(df.withColumn("ordinal", F.col("ordinal") + 100).withColumn("company", F.lit("New")))
+    sinks.write_source_records(doubled, str(tmp_path / "r"))
+    back = sinks.read_source_records(spark, str(tmp_path / "r"))
+    assert back.count() == 6
+    assert {r.company for r in back.collect()} == {"New"}
+    assert back.schema["raw"].dataType.typeName() == "map"
+
+
+def test_mapping_found_equals_the_default(spark):
+    raws = driver_tables.raw_sources(spark, SF)
+    profile = profiling.column_profile(standardize_all(raws))
+    assert profiling.mapping_by_source(profiling.field_mapping(profile)) == fixed.DEFAULT_MAPPINGS
+
+
+def test_mapping_leaves_strangers_out(spark):
+    rows = [("X", {"Rep": "Ann Lee", "Sq Ft": "1200", "E-Mail": "", "blank": " "})] * 3
+    records = spark.createDataFrame(rows, "source string, raw map<string,string>")
+    found = {
+        r.source_field: (r.unified_field, r.note)
+        for r in profiling.field_mapping(profiling.column_profile(records)).collect()
+    }
+    assert found == {
+        "Rep": ("contactName", "by values and name"),
+        "Sq Ft": (None, "no match"),
+        "E-Mail": ("email", "by name"),
+        "blank": (None, "no match"),
+    }
+
+
+class Session:
+    """As much of a session as choosing the staging folder looks at."""
+
+    def __init__(self, named, master):
+        self.conf = {"spark.checkpoint.dir": named} if named else {}
+        self.sparkContext = SimpleNamespace(master=master, applicationId=f"app-{master}")
+
+
+def test_staging_folder():
+    assert shared_folder(Session("hdfs://shared", "yarn")) == "hdfs://shared"
+    assert shared_folder(Session("/somewhere", "local[2]")) == "/somewhere"
+    own = shared_folder(Session(None, "local[2]"))
+    assert own == shared_folder(Session(None, "local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(None, "spark://host:7077"))
+
+
+def test_workspace_drops_its_tables(spark, tmp_path):
+    workspace = Workspace(spark, str(tmp_path))
+    assert workspace.stage(spark.range(3), "x").count() == 3
+    workspace.drop()
+    assert not list(tmp_path.iterdir())
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark):
+    """What keeps the plans cheap: pruned scans, pushed filters, early row limits, one merge shuffle."""
+    unified, tables = queries.run(spark, SF)
+    samples = plan(views.source_samples(unified.records))
+    assert "WindowGroupLimit" in samples
+    count = plan(queries.queries()["spec_count_state"](spark, SF))
+    assert "EqualTo(state,CA)" in count and "ReadSchema: struct<state:string>" in count
+    conflicts = plan(views.field_conflicts(unified.resolved, unified.n_records))
+    assert conflicts.count("Exchange") == 1
+    overlap = plan(views.source_overlap(unified.resolved))
+    assert "ReadSchema: struct<source:string,root:bigint>" in overlap
+    top = plan(queries.queries()["spec_select_like"](spark, SF))
+    assert "TakeOrderedAndProject" in top
