@@ -7,7 +7,9 @@ records however large a block is; pairs are never listed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import fixed_values as fixed
@@ -31,20 +33,28 @@ def link_keys(records: DataFrame) -> DataFrame:
     return records.select("node", "block_key", F.inline(pairs)).where(F.col("key_value") != "")
 
 
-def link_hubs(keys: DataFrame) -> DataFrame:
-    """Values that at least two records of a block share, with the first record as anchor."""
-    return (
-        keys.groupBy(*HUB)
-        .agg(F.min("node").alias("anchor"), F.count("*").alias("hub_size"))
-        .where(F.col("hub_size") > 1)
-    )
-
-
 def link_edges(records: DataFrame, n_records: int, heavy_rows: int | None = None) -> DataFrame:
-    """Record -> hub edges ``(block_key, key_type, key_value, hub_size, anchor, node)``."""
-    keys = link_keys(records)
-    hubs = link_hubs(keys).withColumn("_rows", F.col("hub_size"))
-    return skew.lookup_join(keys, hubs, HUB, "_rows", 3 * n_records, heavy_rows=heavy_rows)
+    """Record -> hub edges ``(block_key, key_type, key_value, hub_size, anchor, node)``.
+
+    A hub is a value that at least two records of a block share; its anchor is the first of them.
+    An ordinary block's records move once and find their hubs in place. In a heavy block one value
+    may be as hot as the block, so there the hubs are aggregated first and joined back.
+    """
+    ordinary, heavy = skew.split_heavy(records, "block_key", n_records, heavy_rows)
+    same_value = Window.partitionBy(*HUB)
+    parts = [
+        link_keys(ordinary)
+        .withColumn("anchor", F.min("node").over(same_value))
+        .withColumn("hub_size", F.count("*").over(same_value))
+    ]
+    if heavy is not None:
+        keys = link_keys(heavy)
+        hubs = keys.groupBy(*HUB).agg(F.min("node").alias("anchor"), F.count("*").alias("hub_size"))
+        shared = hubs.where("hub_size > 1").withColumn("_rows", F.col("hub_size"))
+        parts.append(
+            skew.lookup_join(keys, shared, HUB, "_rows", 3 * n_records, heavy_rows=heavy_rows)
+        )
+    return reduce(DataFrame.unionByName, parts).where("hub_size > 1")
 
 
 def block_sizes(records: DataFrame) -> DataFrame:
@@ -78,32 +88,30 @@ def block_candidates(
     records: DataFrame, n_records: int, heavy_rows: int | None = None
 ) -> DataFrame:
     """Each record of a block next to the block's first record, with the evidence they share."""
-    fields = ["company", "contactName", "email", "phone", "state"]
-    blocks = block_sizes(records).select(
-        "block_key", F.col("first_node").alias("anchor"), F.col("n_records").alias("_rows")
-    )
-    rows = records.select("node", "block_key", *fields)
-    joined = skew.lookup_join(rows, blocks, ["block_key"], "_rows", n_records, heavy_rows=heavy_rows)
-    anchors = joined.where(F.col("node") == F.col("anchor")).select(
-        "block_key",
-        F.col("node").alias("anchor"),
-        *[F.col(f).alias(f"anchor_{f}") for f in fields],
-    )
-    sized = anchors.join(blocks.drop("anchor"), "block_key")
-    others = joined.where(F.col("node") != F.col("anchor")).drop("anchor")
-    paired = skew.lookup_join(others, sized, ["block_key"], "_rows", n_records, heavy_rows=heavy_rows)
-
-    def same(field, value=F.col):
-        mine, theirs = value(field), value(f"anchor_{field}")
-        return ((mine == theirs) & (mine != "")).cast("int")
+    rows = records.select("node", "block_key", "email", "phone", "contactName")
+    first = F.min(F.struct("node", "email", "phone", "contactName"))
+    ordinary, heavy = skew.split_heavy(rows, "block_key", n_records, heavy_rows)
+    parts = [ordinary.withColumn("anchor", first.over(Window.partitionBy("block_key")))]
+    if heavy is not None:
+        # one row per heavy block, of which there are at most skew.HEAVY_KEYS
+        anchors = heavy.groupBy("block_key").agg(first.alias("anchor"))
+        parts.append(heavy.join(F.broadcast(anchors), "block_key"))
+    paired = reduce(DataFrame.unionByName, parts).where(F.col("node") != F.col("anchor.node"))
+
+    def same(field: str) -> Column:
+        mine, theirs = F.col(field), F.col(f"anchor.{field}")
+        if field == "contactName":
+            mine, theirs = F.lower(mine), F.lower(theirs)
+        shared = (mine == theirs) & (mine != "")
+        return shared & mine.rlike(fixed.PHONE_SHAPE) if field == "phone" else shared
 
     return paired.select(
         "block_key",
-        node_record_id(F.col("anchor")).alias("anchor_id"),
+        node_record_id(F.col("anchor.node")).alias("anchor_id"),
         node_record_id(F.col("node")).alias("record_id"),
-        same("email").alias("same_email"),
-        (same("phone") * F.col("phone").rlike(fixed.PHONE_SHAPE).cast("int")).alias("same_phone"),
-        same("contactName", F.lower).alias("same_contact"),
+        same("email").cast("int").alias("same_email"),
+        same("phone").cast("int").alias("same_phone"),
+        same("contactName").cast("int").alias("same_contact"),
     )
 
 

@@ -156,18 +156,6 @@ def merge_single(single: DataFrame) -> DataFrame:
     )
 
 
-def by_cluster(
-    resolved: DataFrame, n_records: int, heavy_rows: int | None
-) -> list[DataFrame]:
-    """The records in parts ready for aggregation by ``root``.
-
-    Ordinary clusters move once, as whole records, and both merge aggregations then find them
-    together. Heavy clusters stay where they are, for aggregates that combine before they shuffle.
-    """
-    ordinary, heavy = skew.split_heavy(resolved, "root", n_records, heavy_rows)
-    return [ordinary.repartition("root")] + ([] if heavy is None else [heavy])
-
-
 def merge(
     resolved: DataFrame,
     n_records: int,
@@ -176,8 +164,8 @@ def merge(
 ) -> DataFrame:
     """One row per entity: values, the node each value came from, confidence, reasoning."""
     priority = fixed.SOURCE_PRIORITY if priority is None else priority
-    linked = by_cluster(resolved.where("linked"), n_records, heavy_rows)
-    parts = [merge_linked(part, priority) for part in linked]
+    linked = skew.split_heavy(resolved.where("linked"), "root", n_records, heavy_rows)
+    parts = [merge_linked(part, priority) for part in linked if part is not None]
     parts.append(merge_single(resolved.where("not linked")))
     merged = reduce(DataFrame.unionByName, parts)
     return merged.withColumn("entity_id", node_record_id(F.col("root")))
@@ -222,8 +210,11 @@ def field_winners(
     """Winner per entity and field, in long form, with the record it came from."""
     priority = fixed.SOURCE_PRIORITY if priority is None else priority
     best = [
-        part.select("root", F.inline(offers(priority))).groupBy("root", "field").agg(F.min("offer").alias("offer"))
-        for part in by_cluster(resolved, n_records, heavy_rows)
+        part.select("root", F.inline(offers(priority)))
+        .groupBy("root", "field")
+        .agg(F.min("offer").alias("offer"))
+        for part in skew.split_heavy(resolved, "root", n_records, heavy_rows)
+        if part is not None
     ]
     return reduce(DataFrame.unionByName, best).select(
         node_record_id(F.col("root")).alias("entity_id"),

@@ -12,8 +12,8 @@ from kinfold.operators.workspace import Workspace
 # A key is heavy when it has more than both of: HEAVY_ROWS rows, 1/HEAVY_KEYS of all rows.
 # At most HEAVY_KEYS keys can pass the second bound whatever the data size, so a table with one
 # row per heavy key is always safe to broadcast.
-HEAVY_ROWS = 1_000_000
-HEAVY_KEYS = 1024
+HEAVY_ROWS = 500_000
+HEAVY_KEYS = 16_384
 
 
 def heavy_bound(rows: int, heavy_rows: int | None = None) -> int | None:
@@ -25,17 +25,19 @@ def heavy_bound(rows: int, heavy_rows: int | None = None) -> int | None:
 def split_heavy(
     df: DataFrame, key: str, rows: int, heavy_rows: int | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of heavy keys (None if there cannot be any).
+    """Rows of ordinary keys, partitioned by the key, and rows of heavy keys where they are.
 
-    Ordinary rows may be moved to one partition per key; heavy ones only meet map-side combining
-    aggregates, which shrink them before they move.
+    Ordinary keys move once, as whole rows, and every later aggregate or window by that key runs in
+    place. Rows of heavy keys should only meet aggregates that combine before they shuffle, or
+    broadcasts of one row per key: there are at most ``HEAVY_KEYS`` such keys. ``df`` must be
+    stored. The second part is None when ``rows`` is too small for a heavy key.
     """
     bound = heavy_bound(rows, heavy_rows)
     if bound is None:
-        return df, None
+        return df.repartition(key), None
     sizes = df.groupBy(key).agg(F.count("*").alias("_rows"))
     heavy = F.broadcast(sizes.where(F.col("_rows") > bound).select(key))
-    return df.join(heavy, key, "left_anti"), df.join(heavy, key, "left_semi")
+    return df.join(heavy, key, "left_anti").repartition(key), df.join(heavy, key, "left_semi")
 
 
 def lookup_join(

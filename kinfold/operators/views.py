@@ -18,7 +18,6 @@ LIST_BITS = 10
 
 def member_lists(
     resolved: DataFrame,
-    merged: DataFrame,
     n_records: int,
     heavy_rows: int | None = None,
     list_bits: int = LIST_BITS,
@@ -28,23 +27,28 @@ def member_lists(
     An entity of ordinary size has one list, part 0. A larger one is cut by source and ordinal
     range, so that no list and no task ever holds an unbounded group.
     """
-    large = merged.where(F.col("member_count") > (1 << list_bits)).select(
-        "root", F.lit(True).alias("large"), F.col("member_count").alias("_rows")
+    ordinary, heavy = skew.split_heavy(
+        resolved.select("root", "node", "id"), "root", n_records, heavy_rows
     )
-    rows = resolved.select("root", "node", "id")
-    sized = skew.lookup_join(rows, large, ["root"], "_rows", n_records, "left", heavy_rows)
+    count = F.count("*").over(Window.partitionBy("root"))
+    parts = [ordinary.withColumn("large", count > (1 << list_bits))]
+    if heavy is not None:
+        parts.append(heavy.withColumn("large", F.lit(True)))
     part = F.when(F.col("large"), F.shiftright("node", list_bits)).otherwise(F.lit(0))
-    return (
-        sized.groupBy("root", part.cast("long").alias("part"))
-        .agg(F.sort_array(F.collect_list("id")).alias("members"))
-    )
+    lists = [
+        rows.groupBy("root", part.cast("long").alias("part")).agg(
+            F.sort_array(F.collect_list("id")).alias("members")
+        )
+        for rows in parts
+    ]
+    return reduce(DataFrame.unionByName, lists)
 
 
 def unified_view(
     resolved: DataFrame, merged: DataFrame, n_records: int, heavy_rows: int | None = None
 ) -> DataFrame:
     """Entities by company, with nested provenance and member lists."""
-    lists = member_lists(resolved, merged, n_records, heavy_rows)
+    lists = member_lists(resolved, n_records, heavy_rows)
     return (
         merged.withColumn("provenance", merging.provenance_array())
         .join(lists, "root")
@@ -138,12 +142,11 @@ def field_conflicts(
             .agg(F.count("*").alias("n_records"), F.bit_or("bits").alias("bits"))
         )
 
-    ordinary, *heavy = merging.by_cluster(resolved.where("linked"), n_records, heavy_rows)
-    # in place: an ordinary cluster's records share a partition, and its group size is bounded
+    ordinary, heavy = skew.split_heavy(resolved.where("linked"), "root", n_records, heavy_rows)
     together = Window.partitionBy("root", "field")
     parts = [values(ordinary).withColumn("n_values", F.count("*").over(together))]
-    for records in heavy:
-        found = values(records)
+    if heavy is not None:
+        found = values(heavy)
         counted = found.groupBy("root", "field").agg(F.count("*").alias("n_values"))
         counted = counted.withColumn("_rows", F.col("n_values"))
         left_rows = len(fixed.UNIFIED_FIELDS) * n_records

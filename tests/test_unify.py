@@ -186,7 +186,7 @@ def test_large_entities_keep_every_member(spark, workspace):
     rows += [("A", 900 + i, "Big Co", "", f"u{i}@x.org", "", "") for i in range(5)]
     _, df = as_records(spark, rows)
     unified = unify_records(df, workspace, heavy_rows=20)
-    lists = views.member_lists(unified.resolved, unified.merged, unified.n_records, 20, list_bits=4).collect()
+    lists = views.member_lists(unified.resolved, unified.n_records, 20, list_bits=4).collect()
     assert max(len(r.members) for r in lists) <= 16
     assert sorted(m for r in lists for m in r.members) == sorted(f"{r[0]}{r[1]}" for r in rows)
 
