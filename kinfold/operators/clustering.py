@@ -42,10 +42,13 @@ def small_star(edges: DataFrame, n_edges: int, heavy_rows: int | None) -> DataFr
 
 def large_star(edges: DataFrame, n_edges: int, heavy_rows: int | None) -> DataFrame:
     """Point every node at the smallest neighbour of its target."""
-    lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    fan_in = edges.groupBy("v").agg(F.count("*").alias("n"))
-    targets = fan_in.join(lowest.withColumnRenamed("u", "v"), "v", "left")
-    moved = skew.lookup_join(edges, targets, ["v"], "n", n_edges, heavy_rows=heavy_rows)
+    lowest = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    if skew.heavy_bound(n_edges, heavy_rows) is None:
+        moved = edges.join(lowest, "v", "left")
+    else:
+        fan_in = edges.groupBy("v").agg(F.count("*").alias("n"))
+        targets = fan_in.join(lowest, "v", "left")
+        moved = skew.lookup_join(edges, targets, ["v"], "n", n_edges, heavy_rows=heavy_rows)
     return moved.select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 

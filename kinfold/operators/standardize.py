@@ -38,50 +38,66 @@ def raw_map(columns: Sequence[str]) -> Column:
     )
 
 
-def standardize(
+def raw_fields(
     raw: DataFrame,
     source: str,
     mapping: Mapping[str, str] | None = None,
     ordinal: str = "ordinal",
     sources: Sequence[str] = fixed.SOURCES,
 ) -> DataFrame:
-    """Standard records of one source: canonical fields by ``mapping``, raw kept, block key.
-
-    ``canonical`` keeps the company's significant words, which blocking and merging compare.
-    """
+    """Keys, raw payload and the mapped raw value of each canonical field ("" if unmapped)."""
     mapping = fixed.DEFAULT_MAPPINGS[source] if mapping is None else mapping
     by_field = {field: column for column, field in mapping.items()}
 
-    def field_value(field: str) -> Column:
-        column = F.col(f"`{by_field[field]}`") if field in by_field else F.lit("")
-        return standard.STANDARDISERS[field](column.cast("string")).alias(field)
+    def mapped(field: str) -> Column:
+        value = F.col(f"`{by_field[field]}`") if field in by_field else F.lit("")
+        return value.cast("string").alias(field)
 
     number = F.col(ordinal).cast("long")
-    raw_columns = [c for c in raw.columns if c != ordinal]
-    fields = raw.select(
+    return raw.select(
         node_number(F.lit(source), number, sources).alias("node"),
         F.concat(F.lit(source), number.cast("string")).alias("id"),
         F.lit(source).alias("source"),
         number.alias("ordinal"),
-        raw_map(raw_columns).alias("raw"),
-        *[field_value(f) for f in fixed.UNIFIED_FIELDS],
+        raw_map([c for c in raw.columns if c != ordinal]).alias("raw"),
+        *[mapped(f) for f in fixed.UNIFIED_FIELDS],
     )
-    # projected in steps, so that no regex runs twice on a value
-    canonical = fields.withColumn("canonical", standard.canonical_company(F.col("company")))
-    return canonical.withColumn(
-        "block_key", standard.block_key_of(F.col("canonical"), F.col("email"))
+
+
+def standard_fields(rows: DataFrame) -> DataFrame:
+    """Standard values in place of the raw ones, with the block key.
+
+    ``canonical`` keeps the company's significant words, which blocking and merging compare. It is
+    projected in steps, so that no regex runs twice on a value.
+    """
+    standard_values = [standard.STANDARDISERS[f](F.col(f)).alias(f) for f in fixed.UNIFIED_FIELDS]
+    canonical = standard.canonical_company(F.col("company"))
+    block_key = standard.block_key_of(F.col("canonical"), F.col("email"))
+    return (
+        rows.select("node", "id", "source", "ordinal", "raw", *standard_values)
+        .withColumn("canonical", canonical)
+        .withColumn("block_key", block_key)
     )
 
 
+def standardize(
+    raw: DataFrame,
+    source: str,
+    mapping: Mapping[str, str] | None = None,
+    ordinal: str = "ordinal",
+    sources: Sequence[str] = fixed.SOURCES,
+) -> DataFrame:
+    """Standard records of one source."""
+    return standard_fields(raw_fields(raw, source, mapping, ordinal, sources))
+
+
 def standardize_all(
     raws: Mapping[str, DataFrame], mappings: Mapping[str, Mapping[str, str]] | None = None
 ) -> DataFrame:
     """Standard records of all sources, in one bag."""
     mappings = fixed.DEFAULT_MAPPINGS if mappings is None else mappings
-    parts = [
-        standardize(df, tag, mappings[tag], sources=tuple(raws)) for tag, df in raws.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    parts = [raw_fields(df, tag, mappings[tag], sources=tuple(raws)) for tag, df in raws.items()]
+    return standard_fields(reduce(DataFrame.unionByName, parts))
 
 
 def raw_to_json(records: DataFrame) -> DataFrame:
