@@ -46,6 +46,8 @@ def raw_fields(
     sources: Sequence[str] = fixed.SOURCES,
 ) -> DataFrame:
     """Keys, raw payload and the mapped raw value of each canonical field ("" if unmapped)."""
+    if source not in sources:
+        raise ValueError(f"unknown source: {source}")
     mapping = fixed.DEFAULT_MAPPINGS[source] if mapping is None else mapping
     by_field = {field: column for column, field in mapping.items()}
 
@@ -96,7 +98,7 @@ def standardize_all(
 ) -> DataFrame:
     """Standard records of all sources, in one bag."""
     mappings = fixed.DEFAULT_MAPPINGS if mappings is None else mappings
-    parts = [raw_fields(df, tag, mappings[tag], sources=tuple(raws)) for tag, df in raws.items()]
+    parts = [raw_fields(df, tag, mappings[tag]) for tag, df in raws.items()]
     return standard_fields(reduce(DataFrame.unionByName, parts))
 
 
