@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from kinfold.llm import fertility, secret_scan
-from kinfold.llm.common import table
+from pyspark.sql import functions as F
+
+from kinfold.llm import fertility, secret_scan, simhash, toxicity
+from kinfold.llm.common import held_out, table
+
+
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_secret_scan(spark, sf_dir):
