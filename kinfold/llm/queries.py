@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.llm import fertility, secret_scan, simhash, toxicity
+from kinfold.llm import decontaminate, fertility, secret_scan, simhash, toxicity
 from kinfold.llm.common import held_out, table
 
 
@@ -23,6 +23,10 @@ def op7_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_fertility(spark, sf_dir):
     return fertility.quality(table(spark, sf_dir, "documents"))
 
