@@ -62,3 +62,28 @@ def row_digest(df: DataFrame) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of all ids that no model may learn labels from; null ids are not in it."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with ``value`` of the ``table(key, value, heavy)`` row that has their key; rows without
+    one are dropped. Keys marked ``heavy``, at most ``HEAVY_KEYS``, are broadcast, so their rows stay
+    where they are; the rest meet by key."""
+    hot, found = unused(rows, "hot_value"), unused(rows, "is_hot")
+    few = F.broadcast(
+        table.where("heavy").select(key, F.col(value).alias(hot), F.lit(True).alias(found))
+    )
+    marked = rows.join(few, key, "left")
+    columns = [f"`{c}`" for c in rows.columns]
+    heavy = marked.where(F.col(found)).select(*columns, F.col(hot).alias(value))
+    rest = marked.where(F.col(found).isNull()).select(*columns)
+    light = table.where(~F.col("heavy")).select(key, value)
+    return rest.join(light, key).select(*columns, value).unionByName(heavy)
+
+
+#: Most keys that ``is_heavy`` can mark.
+HEAVY_KEYS = 10_000
+
+
+def is_heavy(n: Column, rows: int) -> Column:
+    """Whether a key has over 10,000 of ``rows`` rows, and over one in ``HEAVY_KEYS``."""
+    return n > max(10_000, rows // HEAVY_KEYS)

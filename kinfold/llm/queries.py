@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontaminate, fertility, secret_scan, simhash, toxicity
+from kinfold.llm import decontaminate, fertility, mixing, secret_scan, sharding, simhash, toxicity
 from kinfold.llm.common import held_out, table
 
 
@@ -15,10 +15,18 @@ def op2_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_mixing(spark, sf_dir):
+    return mixing.sequence(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark, sf_dir):
+    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents"), 40))
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 

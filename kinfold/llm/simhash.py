@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WORD, map_batches, row_digest, staged, strings, unused
+from kinfold.llm.common import WORD, is_heavy, lookup, map_batches, row_digest, staged, strings, unused
 from kinfold.operators.clustering import connected_components
 from kinfold.operators.workspace import Workspace
 
@@ -142,13 +142,12 @@ def components(fps: DataFrame, crowd: int = 64) -> DataFrame:
 
 
 def by_component(fps: DataFrame, crowd: int) -> DataFrame:
-    """Distinct fingerprints with ``component`` and ``heavy``: whether over 10,000 rows, and over one
-    in 10,000 of all, share it. So at most 10,000 are heavy."""
+    """Distinct fingerprints with ``component`` and ``heavy``, whether very many rows share it."""
     distinct = staged(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "distinct")
     rows = distinct.agg(F.sum("n")).first()[0] or 0
     linked = components(distinct.select("fp"), crowd)
     joined = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    return joined.withColumn("heavy", F.col("n") > max(10_000, rows // 10_000))
+    return joined.withColumn("heavy", is_heavy(F.col("n"), rows))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = 64) -> DataFrame:
@@ -157,15 +156,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = 64) -> DataF
     fps = staged(fingerprints(docs, shingle), "fingerprints")
     classes = staged(by_component(fps, crowd), "classes")
     smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    # most classes of distinct fingerprints are small: no fingerprint repeats in them
     ids = staged(classes.join(smallest, "component").select("fp", "heavy", "component_id"), "class-ids")
-    few = F.broadcast(ids.where("heavy").select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot")))
-    marked = fps.join(few, "fp", "left")
-    hot = marked.where("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id"))
-    rest = marked.where("hot is null").select("doc_id", "fp").join(
-        ids.where(~F.col("heavy")).select("fp", "component_id"), "fp"
-    )
-    return rest.select("doc_id", "fp", "component_id").unionByName(hot).select(
+    return lookup(fps, ids, "fp", "component_id").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
