@@ -4,10 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.llm import decontaminate, fertility, mixing, secret_scan, sharding, simhash, toxicity
+from kinfold.llm import (
+    decontaminate,
+    fertility,
+    mixing,
+    secret_scan,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from kinfold.llm.common import held_out, table
 
 
+#: The rules of the contract: ``host/path`` and verdict.
+URL_RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
+#: Pages whose title has a run of symbols: their URLs make the list of the filter.
+JUNK_TITLE = r"<title>[^<]*(%%%|###|&&&|&amp;&amp;|[*]{3}|[$]{3})"
+
+
+def op1_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(F.col("html").rlike(JUNK_TITLE)).select("url")
+    judged = url_filter.judge(pages.select("page_id", "url"), listed, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -39,6 +68,11 @@ def op9_fertility(spark, sf_dir):
     return fertility.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_tokens(docs, ["source", "text"], split=["text"])
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
