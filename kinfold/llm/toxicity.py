@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ SHOUTING = re.compile(r"\b[A-Z]{4,}(?: [A-Z]{4,})+")
 MASKED = re.compile(r"[a-z][*@$]{1,3}[a-z]")
 WORDS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6)
+SHINGLE = 5
 
 FIXED = len(LEXICONS) + 4
 MINED_LISTS = 10
@@ -129,19 +131,32 @@ def sampled(rows: DataFrame, bound: int, seed: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
 
 
+def with_key(batches):
+    """Adds the smallest hash of the five-word shingles: near copies mostly share it."""
+    schema = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("text", pa.string())])
+    for batch in batches:
+        keys = []
+        for text in strings(batch.column("text")):
+            words = WORDS.findall(text.lower())
+            runs = zip(*(words[k:] for k in range(SHINGLE))) if len(words) >= SHINGLE else [words]
+            keys.append(min(xxhash.xxh64_intdigest(x) for x in map(" ".join, runs)) >> 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), batch.column("y").cast(pa.int32()), batch.column("text").cast(pa.string())], schema=schema
+        )
+
+
 def mine(docs: DataFrame, labels: DataFrame, mine_rows: int, max_words: int, least_evidence: float) -> tuple:
     """Words and beginnings that mark toxic texts, strongest first.
 
     From at most ``mine_rows`` labelled rows, whose ids (a bounded table) are broadcast. Near copies
-    count once: of the texts that share their smallest word hash only one is used.
+    count once: of the texts that share their smallest five-word shingle hash only one is used.
     """
     chosen = F.broadcast(sampled(labels, mine_rows, 11))
-    lowest = F.array_min(F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.xxhash64(w)))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(chosen, "doc_id")
     texts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .where("text is not null")
-        .join(chosen, "doc_id")
-        .groupBy(lowest.alias("key"), "y")
+        labelled.select("text", "y")
+        .mapInArrow(with_key, "key long, y int, text string")
+        .groupBy("key", "y")
         .agg(F.min("text").alias("text"))
         .select("text", "y")
     )
@@ -180,7 +195,7 @@ def mine(docs: DataFrame, labels: DataFrame, mine_rows: int, max_words: int, lea
     )
     best = (
         counted.where("word <> ''")
-        .where((F.col("n1") / n > 3 * p) & (part >= least_evidence))
+        .where((F.col("n1") * (1 - p) >= 4 * F.col("n0") * p) & (part >= least_evidence))
         .orderBy(part.desc(), "word")
         .limit(max_words)
     )
@@ -249,47 +264,45 @@ def posterior(x: np.ndarray, theta: dict) -> np.ndarray:
 
 
 def fit_label_model(patterns: DataFrame, rounds: int) -> dict:
-    """Firing rates by expectation maximisation, then correlations and the discounts they give."""
+    """Firing rates by expectation maximisation; every round also re-estimates the correlations, and with
+    them how much each voter's evidence counts."""
     theta = {
         "prior": 0.1,
         "toxic": [0.3] * VOTERS + [0.4, 0.01],
         "other": [0.005] * VOTERS + [0.002, 0.4],
         "discount": [1.0] * MASK_BITS,
     }
-    toxic = other = None
+    first = {k: np.array(theta[k]) for k in ("toxic", "other")}
     for _ in range(rounds):
         toxic, other = label_sums(patterns, theta)
         n1, n0 = toxic[-1, -1], other[-1, -1]
         if n1 < 1 or n0 < 1:
             return theta
+        previous = np.array(theta["toxic"])
         # pseudo-counts: ten texts that vote as first assumed
-        first = {k: np.array(theta.get(f"first_{k}", theta[k])) for k in ("toxic", "other")}
-        previous = theta
-        theta = {
+        fitted = {
             "prior": float(np.clip((n1 + 1) / (n1 + n0 + 10), 0.001, 0.9)),
             "toxic": ((toxic[-1, :-1] + 10 * first["toxic"]) / (n1 + 10)).clip(1e-6, 1 - 1e-6).tolist(),
             "other": ((other[-1, :-1] + 10 * first["other"]) / (n0 + 10)).clip(1e-6, 1 - 1e-6).tolist(),
-            "discount": theta["discount"],
-            "first_toxic": first["toxic"].tolist(),
-            "first_other": first["other"].tolist(),
         }
-        moved = np.abs(np.array(theta["toxic"]) - np.array(previous["toxic"])).max()
-        if moved < 1e-4:
+        theta = fitted | correlations(toxic)
+        if np.abs(np.array(theta["toxic"]) - previous).max() < 1e-4:
             break
-    if toxic is not None and toxic[-1, -1] >= 2:
-        n1 = toxic[-1, -1]
-        mean = toxic[-1, :-1] / n1
-        covariance = toxic[:-1, :-1] / n1 - np.outer(mean, mean)
-        spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
-        correlation = covariance / np.outer(spread, spread)
-        np.fill_diagonal(correlation, 0)
-        theta["correlation"] = np.round(correlation, 4).tolist()
-        theta["discount"] = (1 / (1 + np.maximum(correlation, 0).sum(0))).tolist()
-        # an annotation is no repetition of a word list
-        theta["discount"][VOTERS:] = [1.0, 1.0]
     return theta
 
 
+def correlations(toxic: np.ndarray) -> dict:
+    """Correlations of the votes inside the toxic class, and the discounts of repeated evidence."""
+    mean = toxic[-1, :-1] / toxic[-1, -1]
+    covariance = toxic[:-1, :-1] / toxic[-1, -1] - np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
+    correlation = covariance / np.outer(spread, spread)
+    np.fill_diagonal(correlation, 0)
+    discount = 1 / (1 + np.maximum(correlation, 0).sum(0))
+    discount[VOTERS:] = 1.0  # an annotation is no repetition of a word list
+    return {"correlation": np.round(correlation, 4).tolist(), "discount": discount.tolist()}
+
+
 def fit_linear(masks: np.ndarray, words: list, target: np.ndarray, n_words: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic regression by Adam on sparse rows; L2 keeps words of few texts small."""
     rows, columns = [], []
