@@ -90,10 +90,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url
     split = pages.select(*kept, canonical(source).alias(key), host.alias("host"), path.alias("path"))
     split = split.withColumn("rule", rule).withColumn("verdict", verdict)
     probe = split.withColumn(block, F.when(F.col("verdict").isNull(), block_of(F.col(key), n_blocks)))
+    words = unused(pages, "filter_words")
     maybe = F.lit(True)
     for i in range(WORDS):
-        maybe = maybe & (F.col(f"w{i}").bitwiseAND(bit_of(F.col(key), i)) != 0)
-    tested = filled.select(F.col("block").alias(block), *[f"w{i}" for i in range(WORDS)])
+        maybe = maybe & (F.col(words)[i].bitwiseAND(bit_of(F.col(key), i)) != 0)
+    tested = filled.select(F.col("block").alias(block), F.array(*[f"w{i}" for i in range(WORDS)]).alias(words))
     result = [*kept, "host", "path", "rule"]
 
     open_rows = probe.where(F.col("verdict").isNull() & F.col(key).isNotNull())
