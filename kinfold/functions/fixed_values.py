@@ -133,11 +133,11 @@ NAME_TOKENS = {
 
 # Type and description of each field in the proposed schema.
 FIELD_NOTES = {
-    "company": ("string", "Legal or trading name of the organization"),
-    "contactName": ("string", "Full name of the primary contact person"),
-    "email": ("string", "Contact email address"),
-    "phone": ("string", "Primary phone number in E.164 form"),
-    "state": ("string", "US state as a 2-letter USPS code"),
+    "company": ("string", "Company as its records spell it most fully"),
+    "contactName": ("string", "Whom to ask for, first and last name"),
+    "email": ("string", "Mailbox of the contact, lower case"),
+    "phone": ("string", "Number to dial, +1 and ten digits"),
+    "state": ("string", "Two capital letters of the home state"),
 }
 
 

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from kinfold.operators import skew
 from kinfold.operators.workspace import Workspace
 
-MAX_ROUNDS = 60
-
 
 def is_star_forest(edges: DataFrame) -> bool:
     """True when every node has one target and no target has a target itself."""
@@ -60,15 +58,12 @@ def connected_components(
     ``edges`` holds ``(u, v)`` with ``v < u``.
     """
     stars = workspace.stage(edges.distinct(), "edges")
-    for _ in range(MAX_ROUNDS):
-        if is_star_forest(stars):
-            break
+    while not is_star_forest(stars):
         # a small-star output has at most two edges per input edge
         n_edges = stars.count()
         smaller = small_star(stars, n_edges, heavy_rows)
-        stars = workspace.stage(large_star(smaller, 2 * n_edges, heavy_rows), "edges")
-    else:
-        raise RuntimeError(f"components not connected after {MAX_ROUNDS} rounds")
+        before, stars = stars, workspace.stage(large_star(smaller, 2 * n_edges, heavy_rows), "edges")
+        workspace.release(before)
     roots = stars.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

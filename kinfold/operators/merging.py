@@ -201,25 +201,17 @@ def entity_members(resolved: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["entity_id", "record_id"])
 
 
-def field_winners(
-    resolved: DataFrame,
-    n_records: int,
-    priority: Mapping[str, int] | None = None,
-    heavy_rows: int | None = None,
-) -> DataFrame:
+def field_winners(merged: DataFrame) -> DataFrame:
     """Winner per entity and field, in long form, with the record it came from."""
-    priority = fixed.SOURCE_PRIORITY if priority is None else priority
-    best = [
-        part.select("root", F.inline(offers(priority)))
-        .groupBy("root", "field")
-        .agg(F.min("offer").alias("offer"))
-        for part in skew.split_heavy(resolved, "root", n_records, heavy_rows)
-        if part is not None
-    ]
-    return reduce(DataFrame.unionByName, best).select(
-        node_record_id(F.col("root")).alias("entity_id"),
-        "field",
-        node_source(F.col("offer.node")).alias("source"),
-        node_record_id(F.col("offer.node")).alias("record_id"),
-        F.col("offer.value").alias("value"),
+    won = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("field"),
+                node_source(F.col(f"{f}_node")).alias("source"),
+                node_record_id(F.col(f"{f}_node")).alias("record_id"),
+                F.col(f).alias("value"),
+            )
+            for f in fixed.UNIFIED_FIELDS
+        ]
     )
+    return merged.select("entity_id", F.inline(won))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,35 +86,65 @@ def number_rows(
         "ordered",
     )
     return offset_units(
-        parts.withColumn("_unit", F.shiftright("_at", 33)), ["_unit"], "_at", name
+        parts.withColumn("_unit", F.shiftright("_at", 33)), ["_unit"], "_at", name, workspace
+    )
+
+
+def sums_before(
+    df: DataFrame, order: Sequence[str], value: Column, name: str, workspace: Workspace
+) -> DataFrame:
+    """Sum of ``value`` over all rows that come before, in any number of rows.
+
+    Rows are range-partitioned by ``order``; each partition sums its own, and one row per partition
+    gives what the partitions before it hold.
+    """
+    order = list(order)
+    parts = workspace.stage(
+        df.withColumn("_value", value)
+        .repartitionByRange(*order)
+        .withColumn("_part", F.spark_partition_id()),
+        "ranges",
+    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        parts.groupBy("_part")
+        .agg(F.sum("_value").alias("_sum"))
+        .select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    )
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        parts.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
+        .join(F.broadcast(totals), "_part")  # one row per shuffle partition
+        .withColumn(name, F.col("_offset") + F.col("_within"))
+        .drop("_value", "_part", "_within", "_offset")
     )
 
 
 def offset_units(
-    df: DataFrame, units: Sequence[str], at: str, name: str, skip: Column | None = None
+    df: DataFrame,
+    units: Sequence[str],
+    at: str,
+    name: str,
+    workspace: Workspace,
+    skip: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Turn per-unit increasing numbers ``at`` into one dense numbering across ordered units.
 
-    ``skip`` leading rows of a unit (a header line) are dropped and take no number. ``df`` must be
-    stored, so that both reads see the same numbers. The window runs over one row per unit (a file,
-    a file split or a partition), never over the rows themselves.
+    ``skip`` adds ``_skip``, the number of leading rows of a unit (a header line) that are dropped and
+    take no number, to the table of units; other columns that it adds are passed on to the unit's
+    rows. ``df`` must be stored, so that both reads see the same numbers. A unit is a file, a file
+    split or a partition.
     """
     units = list(units)
-    skip = F.lit(0) if skip is None else skip
     sizes = df.groupBy(*units).agg(F.count("*").alias("_n"), F.min(at).alias("_first"))
-    before = Window.orderBy(*units).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_skip", skip).select(
-        *units,
-        "_first",
-        "_skip",
-        F.coalesce(F.sum(F.col("_n") - F.col("_skip")).over(before), F.lit(0)).alias("_offset"),
-    )
+    sizes = skip(sizes) if skip else sizes.withColumn("_skip", F.lit(0))
+    offsets = sums_before(sizes, units, F.col("_n") - F.col("_skip"), "_before", workspace).drop("_n")
     row = F.col(at) - F.col("_first")
     return (
         df.join(offsets, units)
         .where(row >= F.col("_skip"))
-        .withColumn(name, F.col("_offset") + row - F.col("_skip") + 1)
-        .drop(*units, at, "_first", "_skip", "_offset")
+        .withColumn(name, F.col("_before") + row - F.col("_skip") + 1)
+        .drop(*units, at, "_first", "_skip", "_before")
     )
 
 

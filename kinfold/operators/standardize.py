@@ -16,19 +16,23 @@ from kinfold.functions import standard
 ORDINAL_BITS = 52
 
 
-def node_number(source: Column, ordinal: Column, sources: Sequence[str] = fixed.SOURCES) -> Column:
-    place = F.array_position(F.array(*[F.lit(s) for s in sources]), source)
-    return F.shiftleft(place, ORDINAL_BITS).bitwiseOR(ordinal.cast("long"))
+def node_number(source: Column, ordinal: Column) -> Column:
+    """Fails the run on an ordinal that is null, negative or has over ``ORDINAL_BITS`` bits."""
+    place = F.array_position(F.array(*[F.lit(s) for s in fixed.SOURCES]), source)
+    ordinal = ordinal.cast("long")
+    unfit = F.raise_error(F.concat(F.lit("unfit ordinal: "), F.coalesce(ordinal.cast("string"), F.lit("null"))))
+    node = F.shiftleft(place, ORDINAL_BITS).bitwiseOR(ordinal)
+    return F.when(ordinal.between(0, (1 << ORDINAL_BITS) - 1), node).otherwise(unfit.cast("long"))
 
 
-def node_source(node: Column, sources: Sequence[str] = fixed.SOURCES) -> Column:
+def node_source(node: Column) -> Column:
     place = F.shiftright(node, ORDINAL_BITS).cast("int")
-    return F.element_at(F.array(*[F.lit(s) for s in sources]), place)
+    return F.element_at(F.array(*[F.lit(s) for s in fixed.SOURCES]), place)
 
 
-def node_record_id(node: Column, sources: Sequence[str] = fixed.SOURCES) -> Column:
+def node_record_id(node: Column) -> Column:
     ordinal = node.bitwiseAND(F.lit((1 << ORDINAL_BITS) - 1))
-    return F.concat(node_source(node, sources), ordinal.cast("string"))
+    return F.concat(node_source(node), ordinal.cast("string"))
 
 
 def raw_map(columns: Sequence[str]) -> Column:
@@ -43,10 +47,9 @@ def raw_fields(
     source: str,
     mapping: Mapping[str, str] | None = None,
     ordinal: str = "ordinal",
-    sources: Sequence[str] = fixed.SOURCES,
 ) -> DataFrame:
     """Keys, raw payload and the mapped raw value of each canonical field ("" if unmapped)."""
-    if source not in sources:
+    if source not in fixed.SOURCES:
         raise ValueError(f"unknown source: {source}")
     mapping = fixed.DEFAULT_MAPPINGS[source] if mapping is None else mapping
     by_field = {field: column for column, field in mapping.items()}
@@ -57,7 +60,7 @@ def raw_fields(
 
     number = F.col(ordinal).cast("long")
     return raw.select(
-        node_number(F.lit(source), number, sources).alias("node"),
+        node_number(F.lit(source), number).alias("node"),
         F.concat(F.lit(source), number.cast("string")).alias("id"),
         F.lit(source).alias("source"),
         number.alias("ordinal"),
@@ -87,10 +90,9 @@ def standardize(
     source: str,
     mapping: Mapping[str, str] | None = None,
     ordinal: str = "ordinal",
-    sources: Sequence[str] = fixed.SOURCES,
 ) -> DataFrame:
     """Standard records of one source."""
-    return standard_fields(raw_fields(raw, source, mapping, ordinal, sources))
+    return standard_fields(raw_fields(raw, source, mapping, ordinal))
 
 
 def standardize_all(

@@ -35,14 +35,24 @@ class Workspace:
         self.spark = spark
         self.path = f"{folder or shared_folder(spark)}/run-{uuid.uuid4().hex}"
         self._numbers = itertools.count()
+        self._paths: dict[int, str] = {}
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back."""
         path = f"{self.path}/{next(self._numbers):03d}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        staged = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(staged)] = path
+        return staged
+
+    def release(self, staged: DataFrame) -> None:
+        """Delete one staged table; DataFrames built on it stop working."""
+        self._delete(self._paths.pop(id(staged)))
 
     def drop(self) -> None:
-        """Delete the staged tables; DataFrames built on them stop working."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        """Delete all staged tables; DataFrames built on them stop working."""
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -26,7 +26,7 @@ from kinfold.streaming.progress import batch_progress
 
 FIELDS = list(fixed.UNIFIED_FIELDS)
 ROWS_PER_PAGE = 25
-ROWS_PER_PAYLOAD = 250
+ROWS_PER_PAYLOAD = 20
 
 _runs: dict[tuple[str, str], tuple[Unified, dict[str, DataFrame]]] = {}
 
@@ -73,35 +73,46 @@ def raw_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_csv(spark, sf_dir):
     """Customer fragments written as CSV files in key order, read back through the CSV source."""
     workspace = Workspace(spark)
+    columns = list(fixed.DEFAULT_MAPPINGS["A"])
+    path = export_csv(spark, sf_dir, workspace)
+    rows = delimited.read_csv(spark, f"{path}/*", columns, workspace)
+    return standardize(rows, "A").select("id", *FIELDS, "block_key")
+
+
+def export_csv(spark, sf_dir, workspace):
+    """Two sets of files: the lower half of the rows, and the upper half with its columns reversed."""
     raw = driver_tables.raw_source(spark, sf_dir, "A")
     path = f"{workspace.path}/export-csv"
     columns = list(fixed.DEFAULT_MAPPINGS["A"])
-    ordered = raw.repartitionByRange("ordinal").sortWithinPartitions("ordinal")
-    ordered.select(*columns).write.csv(path, header=True, quote='"', escape='"')
-    rows = delimited.read_csv(spark, path, columns, workspace)
-    return standardize(rows, "A").select("id", *FIELDS, "block_key")
+    middle = raw.agg(F.percentile_approx("ordinal", 0.5)).first()[0] or 0
+    halves = ((F.col("ordinal") <= middle, "0", columns), (F.col("ordinal") > middle, "1", columns[::-1]))
+    for half, name, order in halves:
+        ordered = raw.where(half).repartitionByRange("ordinal").sortWithinPartitions("ordinal")
+        ordered.select(*order).write.csv(f"{path}/{name}", header=True, quote='"', escape='"')
+    return path
 
 
 def ingest_json(spark, sf_dir):
     """Supplier fragments written as payload documents, read back through the JSON source."""
     workspace = Workspace(spark)
-    raw = driver_tables.raw_source(spark, sf_dir, "B")
     columns = list(fixed.DEFAULT_MAPPINGS["B"])
-    document = F.floor(F.col("ordinal") / ROWS_PER_PAYLOAD).alias("document")
-    rows = F.sort_array(F.collect_list(F.struct("ordinal", *columns)))
-    documents = (
-        raw.groupBy(document)
-        .agg(rows.alias("records"))
-        .repartitionByRange("document")
-        .sortWithinPartitions("document")
-        .select(F.to_json(F.struct(F.lit("export").alias("source"), "records")).alias("value"))
-    )
-    path = f"{workspace.path}/export-json"
-    documents.write.option("maxRecordsPerFile", 1).text(path)
-    read = payload.read_json(spark, path, columns, workspace)
+    path = export_json(spark, sf_dir, workspace)
+    read = payload.read_json(spark, f"{path}/*", columns, workspace)
     return standardize(read, "B").select("id", *FIELDS, "block_key")
 
 
+def export_json(spark, sf_dir, workspace):
+    """One numbered folder per document of up to 20 records."""
+    raw = driver_tables.raw_source(spark, sf_dir, "B")
+    document = F.lpad(F.floor(F.col("ordinal") / ROWS_PER_PAYLOAD).cast("string"), 12, "0")
+    rows = F.sort_array(F.collect_list(F.struct("ordinal", *fixed.DEFAULT_MAPPINGS["B"])))
+    documents = raw.groupBy(document.alias("document")).agg(rows.alias("records"))
+    path = f"{workspace.path}/export-json"
+    value = F.to_json(F.struct(F.lit("export").alias("source"), "records")).alias("value")
+    documents.select("document", value).repartition("document").write.partitionBy("document").text(path)
+    return path
+
+
 def directory_pages(spark, sf_dir):
     """Order fragments rendered as directory pages of up to 25 rows, one table per page."""
     raw = driver_tables.fragments(spark, sf_dir, "C")
@@ -168,6 +179,23 @@ def entity_tables_sink(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+def files_to_tables(spark, sf_dir):
+    """All sources as files, unified, published, and the entities read back from the published version."""
+    workspace = Workspace(spark)
+    a, b, c = (list(fixed.DEFAULT_MAPPINGS[s]) for s in fixed.SOURCES)
+    pages = f"{workspace.path}/export-pages"
+    page_corpus(spark, sf_dir).repartition("page_id").write.partitionBy("page_id").text(pages)
+    raws = {
+        "A": delimited.read_csv(spark, f"{export_csv(spark, sf_dir, workspace)}/*", a, workspace),
+        "B": payload.read_json(spark, f"{export_json(spark, sf_dir, workspace)}/*", b, workspace),
+        "C": markup.read_html(markup.read_pages(spark, f"{pages}/*"), c, workspace).drop("page_id", "row_no"),
+    }
+    unified = unify_sources(raws, workspace)
+    sinks.publish(unified, f"{workspace.path}/published")
+    published = sinks.read_published(spark, f"{workspace.path}/published")
+    return published["entities"]
+
+
 # --- standard values -----------------------------------------------------------------------
 
 
@@ -292,7 +320,7 @@ def clusters(spark, sf_dir):
 
 def field_provenance(spark, sf_dir):
     unified, _ = run(spark, sf_dir)
-    return merging.field_winners(unified.resolved, unified.n_records)
+    return merging.field_winners(unified.merged)
 
 
 def pair_scores(spark, sf_dir):
@@ -388,6 +416,7 @@ def queries():
         "all_records": all_records,
         "source_records_sink": source_records_sink,
         "entity_tables_sink": entity_tables_sink,
+        "files_to_tables": files_to_tables,
         "std_state": _standardised("state"),
         "std_phone": _standardised("phone"),
         "std_email": _standardised("email"),
@@ -446,7 +475,7 @@ def queries():
         "dq_nulls": dq_nulls,
         "dq_domains": _check(lambda r, e, m, p: quality.bad_domains(r, e, p)),
         "dq_orphans": _check(quality.orphans),
-        "dq_keys": _check(lambda r, e, m, p: quality.bad_keys(r, m, p)),
+        "dq_keys": _check(quality.bad_keys),
         "dq_partition": _check(lambda r, e, m, p: quality.bad_partition(r, m)),
         "dq_provenance": _check(quality.bad_provenance),
     }

@@ -187,13 +187,14 @@ _entities_of = "select entity_id as id, " + FIELD_LIST + ", confidence from enti
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_others = "company, contact, phone, email, state"
+
+
 def renumbered(source):
-    others = [c for c in ("source", "company", "contact", "phone", "email", "state")]
     return STD_.replace(
         FRAGS,
         f"frags0 as ({fragment(source)}), frags as (select row_number() over (order by ordinal) as ordinal, "
-        + ", ".join(others)
-        + " from frags0)",
+        f"source, {_others} from frags0)",
     ) + f"select id, {FIELD_LIST}, block_key from std"
 
 
@@ -321,6 +322,11 @@ def oracle_sql() -> dict[str, str]:
         f"select '{name}' as table_name, count(*) as n_rows, count(distinct entity_id) as n_entities from {t}"
         for name, t in (("entities", "entities"), ("field_provenance", "provenance"), ("entity_members", "members"))
     )
+    q["files_to_tables"] = MERGED_.replace(
+        FRAGS,
+        FRAGS.replace("frags as", "frags0 as", 1)
+        + f", frags as (select row_number() over (partition by source order by ordinal) as ordinal, source, {_others} from frags0)",
+    ) + f"select entity_id, {FIELD_LIST}, confidence, reasoning from entities"
     q["std_state"] = (
         f"with {STATES}, {FRAGS}, cleaned as (select *, {state_clean('state')} as sc from frags) "
         "select source, ordinal, state as raw, coalesce(s1.code, s2.code, upper(sc)) as value from cleaned "
@@ -475,6 +481,7 @@ def oracle_sql() -> dict[str, str]:
     q["dq_keys"] = MERGED_ + _violations(
         {
             "record id": "select id from std group by id having count(*) > 1",
+            "entity id": "select entity_id from entities group by entity_id having count(*) > 1",
             "entity member": "select entity_id from members group by entity_id, record_id having count(*) > 1",
             "provenance key": "select entity_id from provenance group by entity_id, field having count(*) > 1",
             "provenance rows": f"select entity_id from provenance group by entity_id having count(*) <> 5"

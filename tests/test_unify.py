@@ -171,7 +171,7 @@ def test_conflict_rule_in_spark(spark, workspace):
     plain, df = as_records(spark, rows)
     unified = unify_records(df, workspace)
     assert merged_as_dict(unified) == brute_force.merge(plain)
-    won = {r.field: (r.source, r.value) for r in merging.field_winners(unified.resolved, 3).collect()}
+    won = {r.field: (r.source, r.value) for r in merging.field_winners(unified.merged).collect()}
     assert won == {
         "company": ("C", "Zen Tools & Sons"),
         "contactName": ("C", "Ann Lee"),
@@ -310,7 +310,7 @@ def test_checks_are_clean_and_find_planted_faults(spark, workspace):
         checks = {
             **quality.bad_domains(r, e, p),
             **quality.orphans(r, e, m, p),
-            **quality.bad_keys(r, m, p),
+            **quality.bad_keys(r, e, m, p),
             **quality.bad_partition(r, m),
             **quality.bad_provenance(r, e, m, p),
         }
@@ -331,6 +331,16 @@ def test_checks_are_clean_and_find_planted_faults(spark, workspace):
     assert report(records, entities, members, lied) == {"entity value", "member value"}
     twice = records.union(records.orderBy("id").limit(1))
     assert "record id" in report(twice, entities, members, provenance)
+    assert "entity id" in report(records, entities.union(entities.limit(1)), members, provenance)
+    assert "record source" in report(records.withColumn("source", F.lit("Q")), entities, members, provenance)
+    strange = provenance.withColumn("source", F.when(F.col("field") == "email", "Q").otherwise(F.col("source")))
+    assert "provenance source" in report(records, entities, members, strange)
+    fewer = entities.join(first, "entity_id", "left_anti")
+    assert report(records, fewer, members, provenance) >= {"member entity", "provenance entity"}
+    doubled = provenance.union(provenance.orderBy("entity_id", "field").limit(1))
+    assert "provenance key" in report(records, entities, members, doubled)
+    moved = records.withColumn("block_key", F.col("id"))
+    assert "entity in one block" in report(moved, entities, members, provenance)
     nulls = quality.blanks(records.withColumn("email", F.nullif("email", F.lit(""))), "records")
     email = nulls.where("column_name = 'email'").first()
     assert email.n_null > 0 and email.n_blank == 0 and email.n_rows == 60
