@@ -113,6 +113,13 @@ def raw_from_json(stored: DataFrame) -> DataFrame:
 
 
 def upsert_latest(records: DataFrame, key: str, version: str) -> DataFrame:
-    """One row per key: the one loaded last."""
-    latest = F.max_by(F.struct(*records.columns), F.col(version)).alias("_row")
-    return records.groupBy(F.col(key).alias("_key")).agg(latest).select("_row.*")
+    """One row per key: that of the highest version; of rows alike in both, one with all its columns.
+
+    Only key and version are aggregated; the rows themselves move once, and those that lost are
+    dropped before the last step.
+    """
+    latest = records.groupBy(F.col(key).alias("_key")).agg(F.max(version).alias("_version"))
+    won = records.join(
+        latest.hint("shuffle_hash"), (F.col(key) == F.col("_key")) & (F.col(version) == F.col("_version"))
+    )
+    return won.drop("_key", "_version").dropDuplicates([key])

@@ -11,61 +11,63 @@ from kinfold.functions import fixed_values as fixed
 from kinfold.functions import standard
 from kinfold.operators import merging, skew
 from kinfold.operators.standardize import node_record_id, raw_from_json
+from kinfold.operators.workspace import Workspace
 
-# Entities with more members than a list holds show them in several rows, 2**LIST_BITS per source.
-LIST_BITS = 10
+# Members of one list.
+LIST_ROWS = 1024
 
 
 def member_lists(
     resolved: DataFrame,
     n_records: int,
+    workspace: Workspace,
     heavy_rows: int | None = None,
-    list_bits: int = LIST_BITS,
+    list_rows: int = LIST_ROWS,
 ) -> DataFrame:
-    """``(root, part, members)``: sorted member ids, every member in exactly one list.
+    """``(entity_id, part, n_parts, members)``: member ids in load order, ``list_rows`` to a list.
 
-    An entity of ordinary size has one list, part 0. A larger one is cut by source and ordinal
-    range, so that no list and no task ever holds an unbounded group.
+    Every entity is cut alike, whatever counts as heavy. Only the rows of entities with several lists
+    are numbered, in one sort by entity and node that no entity's size unbalances.
     """
-    ordinary, heavy = skew.split_heavy(
-        resolved.select("root", "node", "id"), "root", n_records, heavy_rows
+    rows = resolved.select("root", "node", "id")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.count("*").alias("_rows"))
+    sized = skew.lookup_join(rows, sizes, ["root"], "_rows", n_records, "inner", heavy_rows)
+    several = sized.where(F.col("n") > list_rows)
+    numbered = workspace.stage(skew.number_rows(several, ["root", "node"], workspace), "members")
+    first = numbered.groupBy("root").agg(F.min("position").alias("first"), F.count("*").alias("_rows"))
+    placed = skew.lookup_join(numbered, first, ["root"], "_rows", n_records, "inner", heavy_rows)
+    part = F.floor((F.col("position") - F.col("first")) / list_rows)
+    columns = ["root", "node", "id", "n"]
+    parts = (
+        sized.where(F.col("n") <= list_rows)
+        .select(*columns, F.lit(0).cast("long").alias("part"))
+        .unionByName(placed.select(*columns, part.cast("long").alias("part")))
     )
-    count = F.count("*").over(Window.partitionBy("root"))
-    parts = [ordinary.withColumn("large", count > (1 << list_bits))]
-    if heavy is not None:
-        parts.append(heavy.withColumn("large", F.lit(True)))
-    part = F.when(F.col("large"), F.shiftright("node", list_bits)).otherwise(F.lit(0))
-    lists = [
-        rows.groupBy("root", part.cast("long").alias("part")).agg(
-            F.sort_array(F.collect_list("id")).alias("members")
-        )
-        for rows in parts
-    ]
-    return reduce(DataFrame.unionByName, lists)
-
-
-def unified_view(
-    resolved: DataFrame, merged: DataFrame, n_records: int, heavy_rows: int | None = None
-) -> DataFrame:
-    """Entities by company, with nested provenance and member lists."""
-    lists = member_lists(resolved, n_records, heavy_rows)
     return (
-        merged.withColumn("provenance", merging.provenance_array())
-        .join(lists, "root")
+        parts.groupBy("root", "part", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("node", "id"))).alias("own"))
         .select(
-            "entity_id",
-            *fixed.UNIFIED_FIELDS,
-            "confidence",
-            "reasoning",
-            "provenance",
-            "member_count",
+            node_record_id(F.col("root")).alias("entity_id"),
             "part",
-            "members",
+            F.ceil(F.col("n") / list_rows).alias("n_parts"),
+            F.col("own.id").alias("members"),
         )
-        .orderBy("company", "entity_id", "part")
     )
 
 
+def unified_view(merged: DataFrame) -> DataFrame:
+    """Entities by company, with nested provenance: one row each, whatever their size. Their members
+    are in ``member_lists``."""
+    return merged.withColumn("provenance", merging.provenance_array()).select(
+        "entity_id",
+        *fixed.UNIFIED_FIELDS,
+        "confidence",
+        "reasoning",
+        "provenance",
+        "member_count",
+    ).orderBy("company", "entity_id")
+
+
 def fragmented_view(stored: DataFrame) -> DataFrame:
     """Stored source records, raw payload parsed, by source and id."""
     return (

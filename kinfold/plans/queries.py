@@ -20,7 +20,7 @@ from kinfold.operators.standardize import (
 )
 from kinfold.operators.workspace import Workspace
 from kinfold.plans import driver_tables
-from kinfold.plans.unify import Unified, unify_sources
+from kinfold.plans.unify import Unified, unify_records, unify_sources
 from kinfold.sources import delimited, markup, payload, sinks
 from kinfold.streaming.progress import batch_progress
 
@@ -276,6 +276,18 @@ def upsert(spark, sf_dir):
     return upsert_latest(versions, "id", "ordinal")
 
 
+def reloaded_entities(spark, sf_dir):
+    """Source B loaded again, with other phones and without every third record: the second load replaces
+    the records it has before anything is linked."""
+    raws = driver_tables.raw_sources(spark, sf_dir)
+    again = raws["B"].where("ordinal % 3 <> 0").withColumn("tel", F.concat(F.lit("2"), F.substring(F.col("tel"), 2, 99)))
+    records = standardize_all(raws).withColumn("load", F.lit(0)).unionByName(
+        standardize_all({"B": again}).withColumn("load", F.lit(1))
+    )
+    unified = unify_records(records, Workspace(spark))
+    return merging.entities(unified.merged)
+
+
 def block_sizes(spark, sf_dir):
     return linking.block_sizes(standard_records(spark, sf_dir)).drop("first_node")
 
@@ -333,13 +345,16 @@ def pair_scores(spark, sf_dir):
 
 def unified_view(spark, sf_dir):
     unified, _ = run(spark, sf_dir)
-    view = views.unified_view(unified.resolved, unified.merged, unified.n_records)
     entries = F.transform(
         "provenance", lambda p: F.concat(p["field"], F.lit("="), p["source"], F.lit(":"), p["value"])
     )
-    return view.withColumn("provenance", F.array_join(entries, "|")).withColumn(
-        "members", F.array_join("members", ",")
-    ).drop("part")
+    return views.unified_view(unified.merged).withColumn("provenance", F.array_join(entries, "|"))
+
+
+def entity_member_lists(spark, sf_dir):
+    unified, _ = run(spark, sf_dir)
+    lists = views.member_lists(unified.resolved, unified.n_records, Workspace(spark))
+    return lists.withColumn("members", F.array_join("members", ","))
 
 
 def fragmented_view(spark, sf_dir):
@@ -442,6 +457,7 @@ def queries():
         ),
         "spec_batch_counts": _table(lambda t: query.count_specs(t["entities"], SPECS)),
         "unified_view": unified_view,
+        "entity_member_lists": entity_member_lists,
         "entity_lineage": entity_lineage,
         "field_winner": _table(
             lambda t: views.field_winner(t["field_provenance"], t["entities"], "phone")
@@ -463,6 +479,7 @@ def queries():
         "source_samples": source_samples,
         "entity_members": _table(lambda t: t["entity_members"]),
         "upsert_latest": upsert,
+        "reloaded_entities": reloaded_entities,
         "link_edges": link_edges,
         "clusters": clusters,
         "entities": _table(lambda t: t["entities"]),

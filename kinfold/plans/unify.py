@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from kinfold.functions import fixed_values as fixed
 from kinfold.operators import clustering, linking, merging
-from kinfold.operators.standardize import standardize_all
+from kinfold.operators.standardize import standardize_all, upsert_latest
 from kinfold.operators.workspace import Workspace
 
 LINKING_COLUMNS = (
@@ -36,8 +36,11 @@ def unify_records(
 ) -> Unified:
     """Link, cluster and merge standard records.
 
-    The regex-heavy standardisation runs once; the raw payload stays out of the later shuffles.
+    The regex-heavy standardisation runs once; the raw payload stays out of the later shuffles. Where
+    records have a ``load`` number, the last load of a record replaces earlier ones before linking.
     """
+    if "load" in records.columns:
+        records = upsert_latest(workspace.stage(records, "loads"), "node", "load").drop("load")
     records = workspace.stage(records, "records")
     n_records = records.count()
     slim = records.select(*LINKING_COLUMNS)

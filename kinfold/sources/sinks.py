@@ -15,11 +15,12 @@ from kinfold.plans.unify import Unified
 STORED_RECORD = "id string, raw_json string, company string, contactName string, email string, phone string, state string, source string"
 
 
-def write_source_records(records: DataFrame, path: str, version: str = "ordinal") -> None:
-    """Source records by source, the last version of an id winning, raw payload as JSON."""
-    latest = upsert_latest(raw_to_json(records), "id", version)
+def write_source_records(records: DataFrame, path: str) -> None:
+    """Source records by source, raw payload as JSON; of an id's loads the last, if loads are numbered."""
+    if "load" in records.columns:
+        records = upsert_latest(records, "id", "load")
     columns = ["id", "raw_json", *fixed.UNIFIED_FIELDS, "source"]
-    latest.select(*columns).write.mode("errorifexists").partitionBy("source").parquet(path)
+    raw_to_json(records).select(*columns).write.mode("errorifexists").partitionBy("source").parquet(path)
 
 
 def read_source_records(spark: SparkSession, path: str) -> DataFrame:

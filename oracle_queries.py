@@ -371,10 +371,18 @@ def oracle_sql() -> dict[str, str]:
         "union all select 'not a number', 0 union all select 'all', count(*) from entities"
     )
     q["unified_view"] = MERGED_ + (
-        f"select m.entity_id, {', '.join('m.' + f for f in FIELDS)}, confidence, reasoning, "
-        f"{_provenance_text} as provenance, member_count, list as members from merged m join "
-        "(select entity_id, string_agg(record_id, ',' order by record_id) as list from members group by 1) x using (entity_id)"
+        f"select entity_id, {FIELD_LIST}, confidence, reasoning, {_provenance_text} as provenance, member_count from merged"
     )
+    q["entity_member_lists"] = RESOLVED_ + """, placed as (
+      select entity_id, id, node, (row_number() over (partition by root order by node) - 1) // 1024 as part,
+        (count(*) over (partition by root) + 1023) // 1024 as n_parts from named)
+      select entity_id, part, n_parts, string_agg(id, ',' order by node) as members from placed group by entity_id, part, n_parts"""
+    q["reloaded_entities"] = MERGED_.replace(
+        FRAGS,
+        FRAGS.replace("frags as", "frags0 as", 1)
+        + """, frags as (select * replace (case when source = 'B' and ordinal % 3 <> 0
+          then '2' || substr(phone, 2) else phone end as phone) from frags0)""",
+    ) + "select * from entities"
     q["entity_lineage"] = RESOLVED_ + "select entity_id, id as record_id, source, raw from named"
     q["field_winner"] = MERGED_ + (
         "select p.entity_id, company, p.source, p.value from provenance p join entities using (entity_id) where field = 'phone'"

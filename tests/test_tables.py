@@ -54,7 +54,9 @@ def test_publish_whole_versions(spark, workspace, tmp_path):
 
 def test_stored_records_keep_the_last_version_of_an_id(spark, tmp_path):
     _, df = as_records(spark, made_up(2, 6))
-    doubled = df.union(df.withColumn("ordinal", F.col("ordinal") + 100).withColumn("company", F.lit("New")))
+    again = df.withColumn("company", F.lit("New"))
+    doubled = df.withColumn("load", F.lit(1)).unionByName(again.withColumn("load", F.lit(2)))
+    doubled = doubled.unionByName(again.withColumn("load", F.lit(2)))
     sinks.write_source_records(doubled, str(tmp_path / "r"))
     back = sinks.read_source_records(spark, str(tmp_path / "r"))
     assert back.count() == 6

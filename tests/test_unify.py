@@ -55,21 +55,18 @@ def made_up(seed, n):
 
 
 def merged_as_dict(unified, heavy_rows=None):
-    view = views.unified_view(unified.resolved, unified.merged, unified.n_records, heavy_rows)
+    lists = views.member_lists(unified.resolved, unified.n_records, unified.workspace, heavy_rows)
+    members = {r.entity_id: sorted(r.members) for r in lists.collect()}
     out = {}
-    for r in view.collect():
-        entity = out.setdefault(
-            r.entity_id,
-            {
-                **{f: r[f] for f in fixed.UNIFIED_FIELDS},
-                "provenance": [tuple(p) for p in r.provenance],
-                "confidence": r.confidence,
-                "reasoning": r.reasoning,
-                "members": [],
-            },
-        )
-        assert r.members == sorted(r.members)
-        entity["members"] = sorted(entity["members"] + r.members)
+    for r in views.unified_view(unified.merged).collect():
+        assert r.entity_id not in out and r.member_count == len(members[r.entity_id])
+        out[r.entity_id] = {
+            **{f: r[f] for f in fixed.UNIFIED_FIELDS},
+            "provenance": [tuple(p) for p in r.provenance],
+            "confidence": r.confidence,
+            "reasoning": r.reasoning,
+            "members": members[r.entity_id],
+        }
     return out
 
 
@@ -181,14 +178,35 @@ def test_conflict_rule_in_spark(spark, workspace):
     }
 
 
-def test_large_entities_keep_every_member(spark, workspace):
-    rows = [("ABC"[i % 3], i, "Hot Stuff", "", "hot@x.org", "", "") for i in range(200)]
-    rows += [("A", 900 + i, "Big Co", "", f"u{i}@x.org", "", "") for i in range(5)]
+@pytest.mark.parametrize("n", [1024, 1025])
+def test_member_lists_do_not_depend_on_what_is_heavy(spark, workspace, n):
+    rows = [("ABC"[i % 3], i, "Hot Stuff", "", "hot@x.org", "", "") for i in range(n)]
+    rows += [("A", 9000 + i, "Big Co", "", f"u{i}@x.org", "", "") for i in range(5)]
     _, df = as_records(spark, rows)
-    unified = unify_records(df, workspace, heavy_rows=20)
-    lists = views.member_lists(unified.resolved, unified.n_records, 20, list_bits=4).collect()
-    assert max(len(r.members) for r in lists) <= 16
-    assert sorted(m for r in lists for m in r.members) == sorted(f"{r[0]}{r[1]}" for r in rows)
+    found = []
+    for heavy_rows in (None, 100):
+        unified = unify_records(df, workspace, heavy_rows=heavy_rows)
+        assert views.unified_view(unified.merged).count() == 6
+        lists = views.member_lists(unified.resolved, unified.n_records, workspace, heavy_rows).collect()
+        found.append(sorted((r.entity_id, r.part, r.n_parts, tuple(r.members)) for r in lists))
+    assert found[0] == found[1]
+    hot = [x for x in found[0] if x[0] == "A0"]
+    in_load_order = [f"{s}{i}" for s in "ABC" for i in range(n) if "ABC"[i % 3] == s]
+    assert [x[1:3] for x in hot] == [(k, -(-n // 1024)) for k in range(-(-n // 1024))]
+    assert [m for x in hot for m in x[3]] == in_load_order
+    assert len(found[0]) == len(hot) + 5
+
+
+def test_the_last_load_replaces_before_linking(spark, workspace):
+    first = [("A", 1, "Acme", "", "old@x.org", "", ""), ("A", 2, "Acme", "", "old@x.org", "", ""), ("B", 1, "Acme", "", "new@x.org", "", "")]
+    second = [("A", 1, "Acme", "", "new@x.org", "", "")]
+    loads = [as_records(spark, rows)[1].withColumn("load", F.lit(k)) for k, rows in enumerate((first, second))]
+    both = loads[0].unionByName(loads[1])
+    unified = unify_records(both, workspace)
+    ids = sorted(r.entity_id for r in merging.entities(unified.merged).collect())
+    assert ids == ["A1", "A2"]
+    members = {(r.entity_id, r.record_id) for r in merging.entity_members(unified.resolved).collect()}
+    assert members == {("A1", "A1"), ("A1", "B1"), ("A2", "A2")}
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
