@@ -88,7 +88,3 @@ def op10_token_counts(spark, sf_dir):
 
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
-
-
-def oracle_sql():
-    return {}
