@@ -93,9 +93,8 @@ def block_candidates(
     ordinary, heavy = skew.split_heavy(rows, "block_key", n_records, heavy_rows)
     parts = [ordinary.withColumn("anchor", first.over(Window.partitionBy("block_key")))]
     if heavy is not None:
-        # one row per heavy block, of which there are at most skew.HEAVY_KEYS
         anchors = heavy.groupBy("block_key").agg(first.alias("anchor"))
-        parts.append(heavy.join(F.broadcast(anchors), "block_key"))
+        parts.append(skew.join_heavy(heavy, anchors, ["block_key"]))
     paired = reduce(DataFrame.unionByName, parts).where(F.col("node") != F.col("anchor.node"))
 
     def same(field: str) -> Column:

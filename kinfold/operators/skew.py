@@ -9,17 +9,38 @@ from pyspark.sql import functions as F
 
 from kinfold.operators.workspace import Workspace
 
-# A key is heavy when it has more than both of: HEAVY_ROWS rows, 1/HEAVY_KEYS of all rows.
-# At most HEAVY_KEYS keys can pass the second bound whatever the data size, so a table with one
-# row per heavy key is always safe to broadcast.
+# A key with more rows than this is heavy: its rows never meet in one task, whatever the table's size.
 HEAVY_ROWS = 500_000
-HEAVY_KEYS = 16_384
+# What one row per heavy key may measure to be broadcast; beyond it, salted joins take over.
+BROADCAST_BYTES = 64 << 20
+SALTS = 16
 
 
 def heavy_bound(rows: int, heavy_rows: int | None = None) -> int | None:
     """Row count above which a key is heavy, or None when ``rows`` is too small for any."""
     heavy_rows = HEAVY_ROWS if heavy_rows is None else heavy_rows
-    return None if rows <= heavy_rows else max(heavy_rows, rows // HEAVY_KEYS)
+    return None if rows <= heavy_rows else heavy_rows
+
+
+def broadcastable(df: DataFrame) -> bool:
+    """Whether all rows, measured as text, fit ``BROADCAST_BYTES``."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    return (df.agg(size).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join to one row per key, each key's rows of ``left`` dealt over ``SALTS`` tasks. All of a key's
+    copies on the right are alike, so it does not matter which row goes where."""
+    salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_heavy(left: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of heavy keys with their one match: by broadcast if that is proven small, else salted."""
+    if broadcastable(heavy):
+        return left.join(F.broadcast(heavy), list(keys))
+    return salted_join(left, heavy, keys)
 
 
 def split_heavy(
@@ -29,15 +50,22 @@ def split_heavy(
 
     Ordinary keys move once, as whole rows, and every later aggregate or window by that key runs in
     place. Rows of heavy keys should only meet aggregates that combine before they shuffle, or
-    broadcasts of one row per key: there are at most ``HEAVY_KEYS`` such keys. ``df`` must be
-    stored. The second part is None when ``rows`` is too small for a heavy key.
+    ``join_heavy``. ``df`` must be stored. The second part is None when ``rows`` is too small for a
+    heavy key.
     """
     bound = heavy_bound(rows, heavy_rows)
     if bound is None:
         return df.repartition(key), None
     sizes = df.groupBy(key).agg(F.count("*").alias("_rows"))
-    heavy = F.broadcast(sizes.where(F.col("_rows") > bound).select(key))
-    return df.join(heavy, key, "left_anti").repartition(key), df.join(heavy, key, "left_semi")
+    heavy = sizes.where(F.col("_rows") > bound).select(key)
+    if broadcastable(heavy):
+        few = F.broadcast(heavy)
+        return df.join(few, key, "left_anti").repartition(key), df.join(few, key, "left_semi")
+    marked = salted_join(df, heavy.withColumn("_heavy", F.lit(True)), [key], "left")
+    return (
+        marked.where("_heavy is null").drop("_heavy").repartition(key),
+        marked.where("_heavy").drop("_heavy"),
+    )
 
 
 def lookup_join(
@@ -51,10 +79,11 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has one row per key, without funnelling a hot key.
 
-    ``right.rows_column`` says how many rows of ``left`` have the key. Rows of heavy keys meet
-    their match by a broadcast of the (at most ``HEAVY_KEYS``) heavy rows of ``right`` and never
-    shuffle; all other rows join by key, where no key is heavy. While ``left`` is no larger than
-    ``heavy_rows`` no key can be heavy and one plain join is planned. ``rows_column`` is dropped.
+    ``right.rows_column`` says how many rows of ``left`` have the key. Rows of heavy keys meet their
+    match by a broadcast of the heavy rows of ``right``, if these measure little enough, and never
+    shuffle; all other rows join by key, where no key is heavy. With too many heavy rows to broadcast
+    the whole join is salted. While ``left`` is no larger than ``heavy_rows`` no key can be heavy and
+    one plain join is planned. ``rows_column`` is dropped.
     """
     keys = list(keys)
     bound = heavy_bound(left_rows, heavy_rows)
@@ -62,6 +91,8 @@ def lookup_join(
         return left.join(right.drop(rows_column), keys, how)
     is_heavy = F.col(rows_column) > bound
     heavy = right.where(is_heavy).drop(rows_column)
+    if not broadcastable(heavy):
+        return salted_join(left, right.drop(rows_column), keys, how)
     light = right.where(~is_heavy).drop(rows_column)
     by_broadcast = left.join(F.broadcast(heavy), keys)
     by_shuffle = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(

@@ -288,6 +288,22 @@ def reloaded_entities(spark, sf_dir):
     return merging.entities(unified.merged)
 
 
+#: So low that the hot block and the hot cluster of the skewed table are heavy at every scale.
+SKEWED_HEAVY_ROWS = 200
+
+
+def skewed_entities(spark, sf_dir):
+    """All orders in one block, a third of them under one email: heavy keys throughout."""
+    raw = driver_tables.raw_source(spark, sf_dir, "C")
+    own = F.concat(F.lit("n"), F.floor(F.col("ordinal") / 2).cast("string"), F.lit("@x.example.com"))
+    hot = F.when(F.col("ordinal") % 3 == 0, F.lit("hot@x.example.com")).otherwise(own)
+    skewed = raw.withColumns(
+        {"Company": F.lit("Firm Nought Media"), "Rep": F.lit(""), "Telephone": F.lit(""), "Contact Email": hot}
+    )
+    unified = unify_records(standardize(skewed, "C"), Workspace(spark), heavy_rows=SKEWED_HEAVY_ROWS)
+    return unified.merged.select("entity_id", *FIELDS, "confidence", "reasoning", "member_count")
+
+
 def block_sizes(spark, sf_dir):
     return linking.block_sizes(standard_records(spark, sf_dir)).drop("first_node")
 
@@ -480,6 +496,7 @@ def queries():
         "entity_members": _table(lambda t: t["entity_members"]),
         "upsert_latest": upsert,
         "reloaded_entities": reloaded_entities,
+        "skewed_entities": skewed_entities,
         "link_edges": link_edges,
         "clusters": clusters,
         "entities": _table(lambda t: t["entities"]),

@@ -383,6 +383,18 @@ def oracle_sql() -> dict[str, str]:
         + """, frags as (select * replace (case when source = 'B' and ordinal % 3 <> 0
           then '2' || substr(phone, 2) else phone end as phone) from frags0)""",
     ) + "select * from entities"
+    skewed = STD.replace(
+        FRAGS,
+        f"frags0 as ({fragment('C')}), frags as (select * replace ('Firm Nought Media' as company, '' as contact, '' as phone,"
+        " case when ordinal % 3 = 0 then 'hot@x.example.com' else 'n' || cast(ordinal // 2 as varchar) || '@x.example.com' end"
+        " as email) from frags0)",
+    )
+    by_email = """resolved as (select *, min(node) over (partition by block_key, email) as root,
+        count(*) over (partition by block_key, email) > 1 as linked from std),
+      named as (select r.*, e.id as entity_id from resolved r join std e on e.node = r.root)"""
+    q["skewed_entities"] = f"with {skewed}, {by_email}, {OFFERS}, {RANKED}, {MERGED} " + (
+        f"select entity_id, {FIELD_LIST}, confidence, reasoning, member_count from merged"
+    )
     q["entity_lineage"] = RESOLVED_ + "select entity_id, id as record_id, source, raw from named"
     q["field_winner"] = MERGED_ + (
         "select p.entity_id, company, p.source, p.value from provenance p join entities using (entity_id) where field = 'phone'"

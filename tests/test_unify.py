@@ -209,6 +209,12 @@ def test_the_last_load_replaces_before_linking(spark, workspace):
     assert members == {("A1", "A1"), ("A1", "B1"), ("A2", "A2")}
 
 
+def test_unify_when_nothing_may_be_broadcast(spark, workspace, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
+    plain, df = as_records(spark, made_up(1, 150))
+    assert merged_as_dict(unify_records(df, workspace, heavy_rows=8), 8) == brute_force.merge(plain)
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_lookup_join_equals_plain_join(spark, how):
     left = spark.range(300).selectExpr("case when id % 3 = 0 then -1 else id % 40 end as k", "id")
