@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import vocabulary
 from kinfold.llm.common import WORD, map_batches, staged, strings
+from kinfold.operators import skew
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Most rows of bands that are broadcast; beyond it the join shuffles.
-MAX_BANDS = 10_000
 MEASURES = ("chars_per_token", "fragment_share", "token_entropy")
 #: Scripts by ranges of code points; the first of the list wins ties.
 SCRIPTS = (
@@ -182,7 +181,7 @@ def quality(
         "fertility",
     )
     band = staged(bands(measured, least), "bands")
-    if band.count() <= MAX_BANDS:
+    if skew.broadcastable(band):
         band = F.broadcast(band)
     scatter = F.sqrt(1 + F.lit(256.0) / F.greatest(F.col("n_tokens"), F.lit(1)))
 

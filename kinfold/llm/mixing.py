@@ -24,11 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import WORD, row_digest, staged, unused
+from kinfold.operators import skew
 
 HASH_BITS = 62
 BLOCK_ROWS = 1 << 14
-#: Most sources whose plan is broadcast; beyond it the join shuffles, and splits skewed sources.
-BROADCAST_SOURCES = 50_000
 #: Halvings per pass over the sources.
 HALVINGS = 4
 
@@ -149,8 +148,9 @@ def plan(counted: DataFrame, target: float, max_repeats: float, budget: int | No
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast if its rows, one per source, are few enough; they hold a name and numbers."""
-    return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
+    """Broadcast if its rows, one per source, measure little enough; else the join shuffles, and Spark
+    splits skewed sources."""
+    return F.broadcast(df) if skew.broadcastable(df) else df
 
 
 def mix(

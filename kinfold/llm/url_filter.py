@@ -22,6 +22,8 @@ WORDS = 8
 BITS_PER_KEY = 16
 #: Largest filter that is broadcast; a larger one is joined by block, and Spark splits skewed blocks.
 BROADCAST_BYTES = 32 << 20
+#: Longest URL that can be broadcast as a heavy key, so that all of them stay small.
+LONGEST_HEAVY = 1024
 #: Query parameters that name no other page.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)="
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
@@ -108,7 +110,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url
     exact = keys.withColumn(hit, F.lit(True)).hint("shuffle_hash")
     proven = counts.join(exact, key, "left").select(
         key,
-        is_heavy(F.col("n"), rows).alias("heavy"),
+        (is_heavy(F.col("n"), rows) & (F.length(key) <= LONGEST_HEAVY)).alias("heavy"),
         F.when(F.col(hit), F.lit(BLOCK)).otherwise(F.lit(ALLOW)).alias("verdict"),
     )
     decided = lookup(possible.drop("verdict"), staged(proven, "proven"), key, "verdict")
