@@ -37,8 +37,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, TARGET_ENTROPY, MAX_REPEATS)
-    return mixed.select(*[f"`{c}`" for c in docs.columns])
+    return mixing.repeat_rows(docs, TARGET_ENTROPY, MAX_REPEATS)
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,6 +153,39 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if skew.broadcastable(df) else df
 
 
+def used_rows(
+    docs: DataFrame, target: float, max_repeats: float, budget: int | None, seed: int, name: str
+) -> DataFrame:
+    """Every row as often as it is used, all columns kept, with ``name``: which pass, where in it, and
+    the weight of the row's source."""
+    own, key, times = unused(docs, "own_place"), unused(docs, "mix_source"), unused(docs, "times")
+    numbered = docs.withColumn(own, place(seed, row_digest(docs)))
+    counted = staged(
+        numbered.select("source", F.col(own).alias("place"), tokens(F.col("text")).alias("tokens")), "token-counts"
+    )
+    lead = [f"`{c}`" for c in docs.columns]
+    if counted.isEmpty():
+        none = "named_struct('epoch', 0, 'block', 0L, 'block_key', 0L, 'weight', 0D)"
+        return docs.select(*lead, F.expr(none).alias(name))
+    mixture = plan(counted, target, max_repeats, budget).select(
+        F.col("source").alias(key), F.struct("passes", "cut", "shift", "weight").alias(times)
+    )
+    joined = numbered.join(small(mixture), numbered["source"].eqNullSafe(F.col(key)))
+    copies = F.col(f"{times}.passes") + F.when(F.col(own) <= F.col(f"{times}.cut"), 1).otherwise(0)
+    epochs = F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int")))
+    epoch = F.explode(F.coalesce(epochs, F.array().cast("array<int>")))
+    used = joined.select(*lead, own, times, epoch.alias(name))
+    # every pass is another permutation
+    ordered = F.when(F.col(name) == 0, F.col(own)).otherwise(
+        F.xxhash64(F.col(name), F.col(own)).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    )
+    block = F.expr(f"shiftright(`{own}`, `{times}`.shift)")
+    parts = F.struct(
+        F.col(name).alias("epoch"), block.alias("block"), F.col(own).alias("block_key"), F.col(f"{times}.weight").alias("weight")
+    )
+    return used.withColumn(own, ordered).select(*lead, parts.alias(name))
+
+
 def mix(
     docs: DataFrame, target: float = 0.95, max_repeats: float = 2.0, budget: int | None = None, seed: int = 1
 ) -> DataFrame:
@@ -164,32 +197,18 @@ def mix(
     least at which every text is used once.
     """
     added = ("epoch", "block", "block_key", "weight")
-    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in added])
-    own, key, times = unused(docs, "own_place"), unused(docs, "mix_source"), unused(docs, "times")
-    numbered = docs.withColumn(own, place(seed, row_digest(docs)))
-    counted = staged(
-        numbered.select("source", F.col(own).alias("place"), tokens(F.col("text")).alias("tokens")), "token-counts"
-    )
-    if counted.isEmpty():
-        return docs.select(
-            "*", F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("block_key"), F.lit(0.0).alias("weight")
-        )
-    mixture = plan(counted, target, max_repeats, budget).withColumnRenamed("source", key)
-    copies = F.col("passes") + F.when(F.col(own) <= F.col("cut"), 1).otherwise(0)
-    epoch = F.explode(F.sequence(F.lit(0), (F.col(times) - 1).cast("int")))
-    lead = [f"`{c}`" for c in docs.columns]
-    used = (
-        numbered.join(small(mixture), numbered["source"].eqNullSafe(F.col(key)))
-        .withColumn(times, copies)
-        .where(F.col(times) > 0)
-        .select(*lead, own, epoch.alias("epoch"), "weight", "shift")
-    )
-    ordered = F.when(F.col("epoch") == 0, F.col(own)).otherwise(
-        F.xxhash64(F.col("epoch"), F.col(own)).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-    )
-    return used.withColumn("block_key", ordered).select(
-        *lead, "epoch", F.expr("shiftright(block_key, shift)").alias("block"), "block_key", "weight"
-    )
+    name = unused(docs, "mix")
+    used = used_rows(docs, target, max_repeats, budget, seed, name)
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in added]
+    return used.select(*kept, *[F.col(f"{name}.{c}").alias(c) for c in added])
+
+
+def repeat_rows(
+    docs: DataFrame, target: float = 0.95, max_repeats: float = 2.0, budget: int | None = None, seed: int = 1
+) -> DataFrame:
+    """The same rows with the columns of ``docs`` alone, all of them unchanged."""
+    used = used_rows(docs, target, max_repeats, budget, seed, unused(docs, "mix"))
+    return used.select(*[f"`{c}`" for c in docs.columns])
 
 
 def sequence(mixed: DataFrame) -> DataFrame:

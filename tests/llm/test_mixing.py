@@ -100,6 +100,8 @@ def test_odd_tables(spark):
     rows = [(1, None, None, "e", 1, 1, 1, 1)] * 3 + [(None, "", "a", "e", 2, 2, 2, 2), (2, "w " * 90_000, "b", None, None, None, None, None)]
     out = m.mix(spark.createDataFrame(rows, schema), max_repeats=1.0)
     assert sorted(Counter((r.doc_id, r.source) for r in out.collect()).values()) == [1, 1, 3]
+    same = m.repeat_rows(spark.createDataFrame(rows, schema), max_repeats=1.0)
+    assert sorted(map(str, same.collect())) == sorted(map(str, spark.createDataFrame(rows, schema).collect()))
     assert out.columns == ["doc_id", "text", "source", "own_place", "times", "mix_source", "epoch", "block", "block_key", "weight"]
 
 
