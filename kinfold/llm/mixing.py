@@ -27,7 +27,7 @@ from kinfold.llm.common import WORD, row_digest, staged, unused
 from kinfold.operators import skew
 
 HASH_BITS = 62
-BLOCK_ROWS = 1 << 14
+BLOCK_ROWS = 1 << 10
 #: Halvings per pass over the sources.
 HALVINGS = 4
 
