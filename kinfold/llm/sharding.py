@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import row_digest, staged, unused
+from kinfold.operators import skew
 
 #: Bytes of a row beside its text.
 ROW_BYTES = 16
@@ -31,14 +32,15 @@ def row_bytes(text: Column) -> Column:
 def shard(docs: DataFrame, n_shards: int, seed: int = 1, bucket_bytes: int = 16 << 20) -> DataFrame:
     """All rows with ``shard`` and ``slot``, gapless from 0 in each shard.
 
-    ``bucket_bytes``: expected bytes of a bucket, which one task holds.
+    ``bucket_bytes``: expected bytes of a bucket, which one task holds; choose it so that there are at
+    most a million or so buckets.
     """
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("shard", "slot")])
     bucket, digest, rows = unused(docs, "bucket"), unused(docs, "digest"), unused(docs, "bucket_rows")
     total = docs.agg(F.sum(row_bytes(F.col("text")))).first()[0] or 0
     n_buckets = max(n_shards, -(-total // bucket_bytes))
     dealt = docs.withColumn(digest, row_digest(docs)).withColumn(
-        bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(digest)), F.lit(n_buckets))
+        bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(digest)), F.lit(n_buckets)).cast("int")
     )
     # one row per bucket
     counts = staged(dealt.groupBy(bucket).agg(F.count("*").alias("n")), "buckets")
@@ -46,11 +48,13 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 1, bucket_bytes: int = 16
         F.sum("n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     offsets = counts.select(bucket, before.alias("before"))
+    if skew.broadcastable(offsets):  # else the buckets would have to move once more
+        offsets = F.broadcast(offsets)
     n = counts.agg(F.sum("n")).first()[0] or 0
     own = F.expr(f"cast((before + at) * {n_shards}L div {max(n, 1)}L as int)")
     slot = F.expr(f"before + at - (own * {n}L + {n_shards - 1}L) div {n_shards}L")
     return (
-        dealt.repartition(n_buckets, bucket)
+        dealt.repartitionById(n_buckets, bucket)  # a task for each bucket
         .sortWithinPartitions(bucket, digest)
         .groupBy(bucket)
         .agg(F.collect_list(F.struct(*[f"`{c}`" for c in docs.columns])).alias(rows))
