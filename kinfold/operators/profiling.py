@@ -22,8 +22,8 @@ RATE_OF_FIELD = {
 def column_profile(records: DataFrame) -> DataFrame:
     """Per source and raw column: fill, distinct values, mean length and share of each shape.
 
-    All but the distinct values come from one aggregation with a handful of groups, which combines
-    map-side. Distinct values are counted by a 128-bit digest, so that no text is shuffled.
+    Equal values are counted first, by a 128-bit digest and what the detectors say of them, so that
+    no text is shuffled; the last aggregation, which has a handful of groups, combines map-side.
     """
     values = records.select("source", F.explode("raw").alias("column_name", "value"))
     value = F.col("value")
@@ -37,6 +37,8 @@ def column_profile(records: DataFrame) -> DataFrame:
     detected = probed.select(
         "source",
         "column_name",
+        F.xxhash64(value).alias("h1"),
+        F.xxhash64(value, F.lit(1)).alias("h2"),
         F.length(value).alias("length"),
         (standard.trim_space(value) != "").alias("is_filled"),
         standard.email(value).rlike(fixed.EMAIL_SHAPE).alias("email"),
@@ -45,38 +47,26 @@ def column_profile(records: DataFrame) -> DataFrame:
         F.lower(value).rlike(standard.SUFFIX_PATTERN).alias("suffix"),
         (has_letter & ~value.contains("@") & ~known_state).alias("name"),
     )
-    filled_rows = F.count_if("is_filled")
+    shapes = ("email", "phone", "state", "suffix", "name")
+    counted = detected.groupBy("source", "column_name", "h1", "h2", "length", "is_filled", *shapes).agg(
+        F.count("*").alias("n")
+    )
+    filled_rows = F.sum(F.when(F.col("is_filled"), F.col("n")).otherwise(0))
 
     def rate(shape: str) -> Column:
-        hits = F.count_if(F.col("is_filled") & F.col(shape))
+        hits = F.sum(F.when(F.col("is_filled") & F.col(shape), F.col("n")).otherwise(0))
         share = F.when(filled_rows == 0, 0.0).otherwise(
             hits.cast("double") / filled_rows.cast("double")
         )
         return share.alias(f"{shape}_rate")
 
-    rates = detected.groupBy("source", "column_name").agg(
-        F.count("*").alias("n_rows"),
+    total_length = F.sum(F.col("length") * F.col("n")).cast("double")
+    return counted.groupBy("source", "column_name").agg(
+        F.sum("n").alias("n_rows"),
         filled_rows.alias("n_filled"),
-        (F.sum("length").cast("double") / F.count("*").cast("double")).alias("avg_length"),
-        *[rate(s) for s in ("email", "phone", "state", "suffix", "name")],
-    )
-    halves = [F.xxhash64(value).alias("h1"), F.xxhash64(value, F.lit(1)).alias("h2")]
-    distinct = (
-        values.where(standard.trim_space(value) != "")
-        .select("source", "column_name", *halves)
-        .distinct()
-        .groupBy("source", "column_name")
-        .agg(F.count("*").alias("n_distinct"))
-    )
-    counted = rates.join(distinct, ["source", "column_name"], "left")
-    return counted.select(
-        "source",
-        "column_name",
-        "n_rows",
-        "n_filled",
-        F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
-        "avg_length",
-        *[f"{s}_rate" for s in ("email", "phone", "state", "suffix", "name")],
+        F.count_if("is_filled").alias("n_distinct"),
+        (total_length / F.sum("n").cast("double")).alias("avg_length"),
+        *[rate(s) for s in shapes],
     )
 
 
