@@ -3,7 +3,10 @@
 A token that fits a known encoding is read as a sequence of symbols and tested against the
 hypothesis "uniformly random": a chi-squared test of alphabet uniformity, a runs test and a lag-1
 serial-correlation test, joined by Fisher's method. Random tokens have uniform p-values, ordinary
-ones small ones. For each encoding and length class the corpus-wide p-value histogram says how many
+ones small ones. A run of token characters is cut at every ``=`` that does not end it; what stands
+between is tested whole, by its segments between slashes, and by theirs between other marks, so that
+a key is not diluted by the name or path before it. The outermost accepted one is the span. Tokens
+without digits are read in alphabets of their own. For each encoding and length class the corpus-wide p-value histogram says how many
 tokens are random (Storey's estimate from the upper half), and the smallest p-value is accepted at
 which the estimated share of ordinary tokens among the accepted stays under ``max_false``.
 
@@ -32,21 +35,38 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What is tested of a token: what stands between ``=``, in it what stands between ``/``, and in that
+#: what stands between other marks.
+CUTS = (
+    re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?"),
+    re.compile(r"[A-Za-z0-9+_-]+(?:=+\Z)?"),
+    re.compile(r"[A-Za-z0-9]+(?:=+\Z)?"),
+)
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: The alphabets a token is read in: the first that holds all its characters.
+#: Letters from common to rare ones in ordinary words, so that slices of the alphabet tell words apart.
+COMMON = "eanirstoludcmpghbvfzkqywjx"
+MIXED = COMMON + COMMON.upper()
+#: The alphabets a token is read in, the first that holds all its characters, and the symbols of the
+#: encoding that it counts as: one without digits may be any encoding's, less its digits.
 ENCODINGS = (
-    ("hex", DIGITS + "abcdef"),
-    ("hex_upper", DIGITS + "ABCDEF"),
-    ("base32", UPPER + "234567"),
-    ("base62", DIGITS + UPPER + LOWER),
-    ("base64", UPPER + LOWER + DIGITS + "+/"),
-    ("base64url", UPPER + LOWER + DIGITS + "-_"),
+    ("lower", COMMON, 26),
+    ("upper", COMMON.upper(), 32),
+    ("letters", MIXED, 62),
+    ("letters64", MIXED + "+/", 64),
+    ("letters64url", MIXED + "-_", 64),
+    ("hex", DIGITS + "abcdef", 16),
+    ("hex_upper", DIGITS + "ABCDEF", 16),
+    ("base32", UPPER + "234567", 32),
+    ("base62", DIGITS + UPPER + LOWER, 62),
+    ("base64", UPPER + LOWER + DIGITS + "+/", 64),
+    ("base64url", UPPER + LOWER + DIGITS + "-_", 64),
 )
 BINS = 20
 SCHEMA = (
     "doc_id long, base array<struct<start:int,kind:int,end:int>>,"
-    " tested array<struct<start:int,end:int,stratum:int,p:double>>"
+    " tested array<struct<start:int,end:int,stratum:int,p:double,around:array<struct<stratum:int,p:double>>>>"
 )
+RESULT = [("stratum", pa.int32()), ("p", pa.float64())]
 ARROW = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -55,7 +75,7 @@ ARROW = pa.schema(
             "tested",
             pa.list_(
                 pa.struct(
-                    [("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("p", pa.float64())]
+                    [("start", pa.int32()), ("end", pa.int32()), *RESULT, ("around", pa.list_(pa.struct(RESULT)))]
                 )
             ),
         ),
@@ -114,9 +134,9 @@ def battery(token: str) -> tuple[int, float] | None:
     """Encoding number and joint p-value, or None when no alphabet fits."""
     body = token.rstrip("=")
     letters = set(body)
-    if not (letters & set(DIGITS)) or letters <= set(DIGITS):
+    if letters <= set(DIGITS):
         return None
-    for number, (_, alphabet) in enumerate(ENCODINGS):
+    for number, (_, alphabet, _) in enumerate(ENCODINGS):
         if letters <= set(alphabet):
             values = np.array([alphabet.index(c) for c in body], dtype=float)
             tests = (uniformity(values, len(alphabet)), runs(values, len(alphabet)), serial(values))
@@ -130,23 +150,34 @@ def length_class(n: int) -> int:
     return int(8 * math.log2(n))
 
 
+def candidates(text: str, start: int, end: int, level: int, min_bits: int, spans: list, around: list) -> list[dict]:
+    """What is tested of a run of token characters, each with the results of those around it."""
+    rows = []
+    for m in CUTS[level].finditer(text[start:end]):
+        a, b, own = start + m.start(), start + m.end(), around
+        body = m[0].rstrip("=")
+        if len(body) * 6 < min_bits:
+            continue
+        # a whole that is the same as what is around it was tested there
+        if not (level and (a, b) == (start, end)) and not any(s < b and a < e for s, _, e in spans):
+            result = battery(m[0])
+            if result is not None and len(body) * math.log2(ENCODINGS[result[0]][2]) >= min_bits:
+                row = {"stratum": 1000 * result[0] + length_class(len(body)), "p": result[1]}
+                rows.append({"start": a, "end": b, **row, "around": around})
+                own = [*around, row]
+        if level + 1 < len(CUTS):
+            rows += candidates(text, a, b, level + 1, min_bits, spans, own)
+    return rows
+
+
 def measure(batch: pa.RecordBatch, min_bits: int) -> pa.RecordBatch:
     base, tested = [], []
     for text in strings(batch.column("text")):
         spans = base_spans(text)
         rows = []
         for m in TOKEN.finditer(text):
-            if any(s < m.end() and m.start() < e for s, _, e in spans):
-                continue
-            result = battery(m[0])
-            if result is None:
-                continue
-            encoding, p = result
-            n = len(m[0].rstrip("="))
-            if n * math.log2(len(ENCODINGS[encoding][1])) >= min_bits:
-                rows.append(
-                    {"start": m.start(), "end": m.end(), "stratum": 1000 * encoding + length_class(n), "p": p}
-                )
+            near = [x for x in spans if x[0] < m.end() and m.start() < x[2]]
+            rows += candidates(text, m.start(), m.end(), 0, min_bits, near, [])
         base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
         tested.append(rows)
     return pa.RecordBatch.from_arrays(
@@ -200,7 +231,7 @@ def find_secrets(docs: DataFrame, min_bits: int = 80, max_false: float = 0.05) -
             return F.coalesce(t["p"] >= F.element_at(limit, t["stratum"]), F.lit(False))
 
         random = F.transform(
-            F.filter("tested", is_random),
+            F.filter("tested", lambda t: is_random(t) & ~F.exists(t["around"], is_random)),
             lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")),
         )
         spans = F.array_sort(F.concat("base", random))

@@ -76,3 +76,36 @@ def test_clashing_columns_are_ignored(spark):
     docs = spark.createDataFrame([(None, TEXTS[0], "a"), (1, None, "b")], "doc_id long, text string, spans string")
     rows = sorted(s.digest(s.find_secrets(docs)).collect(), key=lambda r: r.n_hex)
     assert [r.n_hex for r in rows] == [0, 1] and rows[1].doc_id is None
+
+
+def found_texts(make_docs, texts):
+    """Random spans of each text, as texts."""
+    rows = s.find_secrets(make_docs(texts)).collect()
+    return {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.spans if x.kind == 3] for r in rows}
+
+
+def test_keys_behind_names_and_paths_and_without_digits_are_found(make_docs):
+    rng = np.random.default_rng(7)
+    letters = s.UPPER + s.LOWER
+    forms = (
+        lambda: ("see sessionid={} end", random_token(rng, letters + s.DIGITS, 32)),
+        lambda: ("x?sig={}&y=1", random_token(rng, letters + s.DIGITS + "-_", 43)),
+        lambda: ("https://host.example/over_view/the-first-of-many-pages/section/{}/edit", random_token(rng, letters + s.DIGITS, 32)),
+        lambda: ("key {} end", random_token(rng, letters, 32)),
+        lambda: ("key {} end", random_token(rng, s.UPPER, 32)),
+        lambda: ("key {} end", random_token(rng, s.LOWER, 32)),
+    )
+    per_form = 200
+    planted = [form() for form in forms for _ in range(per_form)]
+    words = ("the", "house", "table", "corner", "reading", "nation", "morning", "weather", "station", "between")
+    plain = [f"see {'-'.join(rng.choice(words, 6))} and {''.join(rng.choice(words, 5))} name={'_'.join(rng.choice(words, 5))} /{'/'.join(rng.choice(words, 6))}" for _ in range(600)]
+    found = found_texts(make_docs, [text.format(key) for text, key in planted] + plain)
+    for k in range(len(forms)):
+        own = range(k * per_form, (k + 1) * per_form)
+        assert sum(any(planted[i][1] in x for x in found[i]) for i in own) >= 0.85 * per_form, k
+    assert sum(bool(found[i]) for i in range(len(planted), len(planted) + len(plain))) <= 0.05 * len(planted)
+
+
+def test_short_keys_without_digits_are_tested():
+    assert s.candidates("QWJZKXPLMBVGTRCY", 0, 16, 0, 80, [], [])
+    assert s.candidates("QwjZkxPLmbvGtRcY", 0, 16, 0, 80, [], [])
