@@ -8,7 +8,8 @@ between is tested whole, by its segments between slashes, and by theirs between
 a key is not diluted by the name or path before it. The outermost accepted one is the span. Tokens
 without digits are read in alphabets of their own. For each encoding and length class the corpus-wide p-value histogram says how many
 tokens are random (Storey's estimate from the upper half), and the smallest p-value is accepted at
-which the estimated share of ordinary tokens among the accepted stays under ``max_false``.
+which the estimated share of ordinary tokens among the accepted stays under ``max_false``. Where a
+class holds too few tokens for that, its neighbours are counted with it.
 
 Defined results: one row per input row, in any order; null or empty texts have no spans; repeated
 rows are repeated; other columns are ignored; an empty table gives an empty table.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,7 @@ ENCODINGS = (
     ("base64url", UPPER + LOWER + DIGITS + "-_", 64),
 )
 BINS = 20
+ENOUGH, FEW = 100, 10
 SCHEMA = (
     "doc_id long, base array<struct<start:int,kind:int,end:int>>,"
     " tested array<struct<start:int,end:int,stratum:int,p:double,around:array<struct<stratum:int,p:double>>>>"
@@ -186,17 +189,41 @@ def measure(batch: pa.RecordBatch, min_bits: int) -> pa.RecordBatch:
     )
 
 
+def pools(strata: list[int], own: int) -> Iterator[tuple[list[int], int]]:
+    """The stratum, then with ever more neighbouring lengths of its encoding, then with all encodings,
+    each with the tokens that its upper half must hold."""
+    lengths = [x for x in strata if x // 1000 == own // 1000]
+    reach, widest = 0, max(abs(x - own) for x in lengths)
+    while reach < widest:
+        yield [x for x in lengths if abs(x - own) <= reach], ENOUGH
+        reach = 2 * reach or 1
+    yield lengths, FEW
+    yield strata, 0
+
+
 def cut_offs(histogram: list[Row], max_false: float) -> dict[int, float]:
-    """The smallest accepted p-value of each stratum under the false-discovery bound."""
-    by_stratum: dict[int, list[int]] = {}
+    """The smallest accepted p-value of each stratum under the false-discovery bound.
+
+    A stratum's estimate is made from the smallest of its pools whose upper half holds ``ENOUGH``
+    tokens, that of all encodings only if its own holds under ``FEW``. The upper half counts one more
+    (the finite-sample form of the estimate) and one standard error of the estimate is allowed, which
+    tells where tokens are few and vanishes where they are many; neither goes for the lowest bin, where
+    the ordinary tokens are."""
+    by_stratum: dict[int, np.ndarray] = {}
     for row in histogram:
-        by_stratum.setdefault(row["stratum"], [0] * BINS)[row["bin"]] = row["n"]
-    cuts = {}
-    for stratum, counts in by_stratum.items():
-        random = 2 * sum(counts[BINS // 2 :])
+        by_stratum.setdefault(row["stratum"], np.zeros(BINS))[row["bin"]] = row["n"]
+    strata, cuts = sorted(by_stratum), {}
+    for stratum in strata:
+        for pool, needed in pools(strata, stratum):
+            counts = sum(by_stratum[x] for x in pool)
+            upper = counts[BINS // 2 :].sum()
+            if upper >= needed:
+                break
         for b in range(BINS):
-            accepted = sum(counts[b:])
-            if accepted and 1 - random * (1 - b / BINS) / accepted <= max_false:
+            accepted, share = counts[b:].sum(), 1 - b / BINS
+            random = 2 * (upper + (b > 0)) * share
+            error = math.sqrt(upper * max(2 * share - 1, 0) * 2 * share) if b else 0
+            if accepted and accepted - random <= max_false * accepted + error:
                 cuts[stratum] = b / BINS
                 break
     return cuts

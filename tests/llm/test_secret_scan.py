@@ -109,3 +109,31 @@ def test_keys_behind_names_and_paths_and_without_digits_are_found(make_docs):
 def test_short_keys_without_digits_are_tested():
     assert s.candidates("QWJZKXPLMBVGTRCY", 0, 16, 0, 80, [], [])
     assert s.candidates("QwjZkxPLmbvGtRcY", 0, 16, 0, 80, [], [])
+
+
+def test_one_secret_per_length_is_found(make_docs):
+    rng = np.random.default_rng(8)
+    letters = s.UPPER + s.LOWER + s.DIGITS
+    texts = [f"key {random_token(rng, alphabet, n)} end" for n in range(30, 180) for alphabet in (letters, letters + "-_")]
+    assert sum(bool(x) for x in found_texts(make_docs, texts).values()) >= 0.88 * len(texts)
+
+
+def test_few_random_tokens_are_accepted_and_ordinary_ones_are_not():
+    from pyspark.sql import Row
+
+    def accepted(ps, strata):
+        counts = {}
+        for p, x in zip(ps, strata):
+            key = x, min(int(p * s.BINS), s.BINS - 1)
+            counts[key] = counts.get(key, 0) + 1
+        cuts = s.cut_offs([Row(stratum=x, bin=b, n=n) for (x, b), n in counts.items()], 0.05)
+        return np.mean([p >= cuts.get(x, 2) for p, x in zip(ps, strata)])
+
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 5, 10, 100, 300):
+        shares = [accepted(rng.random(n), 8000 + rng.integers(30, 60, n)) for _ in range(400)]
+        assert np.mean(shares) >= (0.9 if n > 5 else 0.82), (n, np.mean(shares))
+    assert accepted(rng.random(40) / 30, [8040] * 40) < 0.1
+    ordinary, random = rng.random(20_000) ** 8, rng.random(2000)
+    strata = np.concatenate([rng.integers(9040, 9060, 20_000), rng.integers(8040, 8060, 2000)])
+    assert accepted(np.concatenate([ordinary, random]), strata) < 0.4
