@@ -7,7 +7,10 @@ distinct words, divided by ``threshold`` times the unit's own full score, so 1 i
 largest impacts of each word in each block of units bound what a block can reach; blocks that can't
 reach the bar are skipped at once, the others are searched document at a time with pivots. All units
 above the bar are then verified: the words of the item's question, and of its answer (its last
-sentence), must be found near the passage as five-word shingles, four fifths of them each.
+sentence), must be found near the passage as five-word shingles, four fifths of them each. One
+changed word takes up to five shingles, so an item counts as found too if the words where question and
+answer meet align with the text at four fifths or more, half of either part at least, and parts longer
+than that junction hold four fifths of their shingles, or the whole item does.
 
 The index goes to the tasks in pieces of at most ``piece_words`` words, each searched against all
 texts, so what is broadcast does not grow with the benchmark.
@@ -87,6 +90,54 @@ def overlap(part: list[str], there: list[str]) -> float:
     return float(any(there[i : i + n] == part for i in range(len(there) - n + 1)))
 
 
+def aligned(part: list[str], there: list[str], cut: int) -> tuple[float, float, float]:
+    """The best alignment of ``part`` with a run of words anywhere in ``there``: one less its edits
+    (words changed, inserted, deleted) per word, and the shares of the words before and from ``cut``
+    that it matches; 1 for no words."""
+    numbers: dict[str, int] = {}
+    text = np.array([numbers.setdefault(w, len(numbers)) for w in there], np.int64)
+    steps = np.arange(len(text) + 1)
+    rows = [np.zeros(len(text) + 1, np.int64)]
+    for i, w in enumerate(part):
+        above = rows[-1]
+        row = above + 1
+        row[1:] = np.minimum(row[1:], above[:-1] + (text != numbers.get(w, -1)))
+        rows.append(np.minimum.accumulate(row - steps) + steps)
+    at, matched = int(rows[-1].argmin()), [0, 0]
+    edits = int(rows[-1][at])
+    i = len(part)
+    while i:
+        cost = rows[i][at]
+        if at and there[at - 1] == part[i - 1] and rows[i - 1][at - 1] == cost:
+            matched[i - 1 >= cut] += 1
+            i, at = i - 1, at - 1
+        elif at and rows[i - 1][at - 1] + 1 == cost:
+            i, at = i - 1, at - 1
+        elif rows[i - 1][at] + 1 == cost:
+            i -= 1
+        else:
+            at -= 1
+    before, after = (m / n if n else 1.0 for m, n in zip(matched, (cut, len(part) - cut)))
+    return 1 - edits / max(len(part), 1), before, after
+
+
+def near_copy(question: list[str], answer: list[str], there: list[str], q: float, a: float) -> tuple[float, float] | None:
+    """Matched shares of question and answer where a text holds an item with few words changed; ``q``
+    and ``a`` are their shingle overlaps."""
+    tail, head = question[-UNIT:], answer[:UNIT]
+    whole = tail + head
+    known = set(there)
+    if sum(w in known for w in whole) < len(whole) / 2:
+        return None
+    share, before, after = aligned(whole, there, len(tail))
+    if min(before, after) < 0.5:
+        return None
+    long = [x for part, x in ((question, q), (answer, a)) if len(part) > UNIT]
+    if (share >= OVERLAP and all(x >= OVERLAP for x in long)) or overlap(question + answer, there) >= OVERLAP:
+        return max(before, q), max(after, a)
+    return None
+
+
 @dataclass
 class Index:
     """One piece of the inverted index, impacts already divided by each unit's bar."""
@@ -235,8 +286,11 @@ def search(index: Index, texts: list[list[str]], threshold: float) -> list[list[
             low, high = max(0, first - len(own)), min(len(texts[doc]), first + 2 * UNIT + len(own))
             there = texts[doc][low:high]
             q, r = overlap(question, there), overlap(answer, there)
-            if q >= OVERLAP and r >= OVERLAP and score * threshold > found[doc].get(place, (0, 0, 0.0))[2]:
-                found[doc][place] = (low, high, score * threshold, q, r)
+            if score * threshold <= found[doc].get(place, (0, 0, 0.0))[2]:
+                continue
+            verified = (q, r) if q >= OVERLAP and r >= OVERLAP else near_copy(question, answer, there, q, r)
+            if verified:
+                found[doc][place] = (low, high, score * threshold, *verified)
     return [[(place, *f) for place, f in sorted(own.items())] for own in found]
 
 

@@ -95,3 +95,36 @@ def test_empty_tables_and_clashing_names(spark, make_docs):
     assert d.find_leaks(docs, benchmark).collect() == [] and d.drop_leaks(docs, benchmark).columns == docs.columns
     assert d.find_leaks(make_docs(["a"]), empty).collect() == []
     assert d.drop_leaks(make_docs(["a", None]), empty).count() == 2
+
+
+def edited(words, k):
+    """The words with one changed, inserted or deleted at ``k``."""
+    return [words[:k] + ["xyzzy"] + words[k + 1 :], words[:k] + ["xyzzy"] + words[k:], words[:k] + words[k + 1 :]]
+
+
+def test_items_with_one_word_edited_are_found():
+    own = items(40) + [(99, f"{prose(9, 70)}. {prose(10, 45)}.")]
+    index = index_of(own)
+    texts, wanted = [], []
+    for place, (_, text) in enumerate(own):
+        words, answer = d.words_of(text), index.items[place][3]
+        for k in range(len(words)):
+            # without its only word, or with none but changed ones, the answer isn't there
+            if len(answer) == 1 and k == len(words) - 1:
+                continue
+            for variant in edited(words, k):
+                texts.append(d.words_of(prose(500 + place, 40)) + variant + d.words_of(prose(900 + place, 40)))
+                wanted.append(place)
+    found = [{f[0] for f in own} for own in d.search(index, texts, 0.6)]
+    missed = [w for w, f in zip(wanted, found) if w not in f]
+    assert len(missed) <= 0.01 * len(wanted)
+    assert not [f for w, f in zip(wanted, found) if f - {w}]
+
+
+def test_near_copies_need_both_parts():
+    question, answer = d.words_of(prose(60, 40)), d.words_of(prose(61, 6))
+    index = index_of([(1, f"{' '.join(question)}. {' '.join(answer)}.")])
+    around = d.words_of(prose(62, 50))
+    texts = [around + question + around, around + question + answer[:2] + around, around + answer + around, around]
+    assert d.search(index, texts, 0.6) == [[], [], [], []]
+    assert d.search(index, [around + question[:7] + question[8:] + answer[:4] + ["no"] + answer[5:] + around], 0.6)[0]
