@@ -7,8 +7,12 @@ the text stands is found in the same way, by rendering the turn with two other t
 pieces share at either end is the template's frame.
 
 A render holds the newest ``memory`` turns and, if there are more, the first one: so a turn costs the
-same in a conversation of any length, and a conversation is streamed from sorted partitions, never
-gathered. ``audit`` renders long probe conversations whole and finds templates that look back further.
+same in a conversation of any length. ``audit`` renders long probe conversations whole and finds
+templates that look back further. What the probes don't show is found in the conversations themselves:
+their true beginnings are rendered whole after 8, 16, 32, ... turns and at the end, which is linear in
+all, and compared with the joined pieces. Where they differ, the turns since the last equal beginning
+and all later ones are rendered in full. Rows are given out once checked, so a task holds one
+conversation.
 
 Defined results: null texts and roles are empty; rows of equal conversation and turn are ordered by
 role, then text, and all kept; null turns come first; a null conversation id is a conversation; other
@@ -19,7 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +37,7 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CONTROLS = (OPEN, CLOSE, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>")
 CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 MEMORY = 4
+BATCH_ROWS, BATCH_CHARS = 10_000, 1 << 24
 PROBES = ("① probe", "② other")
 
 
@@ -148,6 +154,68 @@ PIECES_SCHEMA = (
 )
 
 
+class Checked:
+    """Rows of one conversation, given out once its true beginning was compared with their pieces."""
+
+    def __init__(self, template: Template, memory: int, conv_id: int | None, loss_role: str):
+        self.template, self.conv_id, self.loss_role = template, conv_id, loss_role
+        self.renderer, self.exact = Renderer(template, memory), memory + 1
+        self.turns: list[tuple[str, str]] = []
+        self.waiting: list[tuple] = []
+        self.state, self.length, self.full = hashlib.sha256(), 0, False
+        self.next_check = 2 * MEMORY
+
+    def row(self, number: int, role: str, text: str) -> tuple:
+        piece, start, end, rewritten = self.renderer.add(role, text)
+        return (self.conv_id, number, role, piece, start, end, role == self.loss_role, rewritten)
+
+    def add(self, role: str, text: str) -> list[tuple]:
+        self.waiting.append(self.row(len(self.turns), role, text))
+        self.turns.append((role, text))
+        if self.full:
+            return self.release()
+        if len(self.turns) < self.next_check:
+            return []
+        self.next_check *= 2
+        return self.check()
+
+    def release(self) -> list[tuple]:
+        rows, self.waiting = self.waiting, []
+        return rows
+
+    def check(self) -> list[tuple]:
+        """The waiting rows; rendered again with all turns before them where the whole differs."""
+        # renders of so few turns held them all
+        if self.full or len(self.turns) <= self.exact or not self.waiting:
+            return self.release()
+        state, length = self.state.copy(), self.length
+        for row in self.waiting:
+            state.update(row[3].encode("utf-8", "surrogatepass"))
+            length += len(row[3])
+        whole = self.template(self.turns)
+        if len(whole) == length and hashlib.sha256(whole.encode("utf-8", "surrogatepass")).digest() == state.digest():
+            self.state, self.length = state, length
+            return self.release()
+        self.full = True
+        first = len(self.turns) - len(self.waiting)
+        self.renderer = Renderer(self.template, sys.maxsize)
+        self.renderer.recent, self.renderer.length = self.turns[:first], first
+        self.renderer.first = self.turns[0] if first else None
+        self.waiting = [self.row(first + i, *turn) for i, turn in enumerate(self.turns[first:])]
+        return self.release()
+
+
+def record_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded number and size."""
+    start, size = 0, 0
+    for i, row in enumerate(rows):
+        size += len(row[3])
+        if size >= BATCH_CHARS or i + 1 - start >= BATCH_ROWS or i + 1 == len(rows):
+            columns = zip(*rows[start : i + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECES)], schema=PIECES)
+            start, size = i + 1, 0
+
+
 def in_turns(conversations: DataFrame) -> DataFrame:
     """Turns of a conversation together and in order; sorting spills, so any length will do."""
     empty = F.lit("")
@@ -171,19 +239,19 @@ def format_turns(
         raise ValueError(f"unfit template: {faults[0]}")
 
     def work(batches):
-        renderer, current, number = None, None, 0
+        current = None
         for batch in batches:
-            out: list[list] = [[] for _ in PIECES]
+            out: list[tuple] = []
             ids = batch.column("conv_id").to_pylist()
             for i, conv_id in enumerate(ids):
                 role, text = batch.column("role")[i].as_py(), batch.column("text")[i].as_py()
-                if renderer is None or conv_id != current:
-                    renderer, current, number = Renderer(template, memory), conv_id, 0
-                piece, start, end, rewritten = renderer.add(role, text)
-                for column, value in zip(out, (conv_id, number, role, piece, start, end, role == loss_role, rewritten)):
-                    column.append(value)
-                number += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECES)], schema=PIECES)
+                if current is None or conv_id != current.conv_id:
+                    out += current.check() if current else []
+                    current = Checked(template, memory, conv_id, loss_role)
+                out += current.add(role, text)
+            yield from record_batches(out)
+        if current:
+            yield from record_batches(current.check())
 
     return in_turns(conversations).mapInArrow(work, PIECES_SCHEMA)
 

@@ -82,3 +82,39 @@ def test_empty_table_and_other_columns(spark):
     assert c.digest(c.format_turns(spark.createDataFrame([], schema))).collect() == []
     rows = c.digest(c.format_turns(spark.createDataFrame([(1, 0, "user", "x", "p", 9, "l")], schema))).collect()
     assert rows[0].n_turns == 1
+
+
+def numbered_late(turns):
+    """Numbers the turns beyond the fiftieth, which no probe reaches."""
+    return "".join(f"{i if i >= 50 else ''}{r}:{t}\n" for i, (r, t) in enumerate(turns))
+
+
+def forgetful(turns):
+    """Keeps the newest 300 characters of a long history."""
+    joined = "".join(f"{r}:{t}\n" for r, t in turns)
+    return joined if len(joined) < 1000 else joined[-300:]
+
+
+def tool_counting(turns):
+    """Counts the turns of a role that the probes lack."""
+    out, n = [], 0
+    for r, t in turns:
+        n += r == "tool"
+        out.append(f"{r}{n if r == 'tool' else ''}:{t}\n")
+    return "".join(out)
+
+
+@pytest.mark.parametrize("template", [numbered_late, forgetful, tool_counting])
+def test_templates_that_pass_the_audit_are_checked_on_the_conversations(spark, template):
+    assert c.audit(template) == []
+    turns = [("user" if i % 2 else "tool", prose(i, 6)) for i in range(120)]
+    frame = spark.createDataFrame([(k, i, r, t) for k in (1, 2) for i, (r, t) in enumerate(turns[: 120 // k])], SCHEMA)
+    rows = sorted(c.format_turns(frame, template).collect(), key=lambda x: (x.conv_id, x.turn_no))
+    for k in (1, 2):
+        own = [x for x in rows if x.conv_id == k]
+        assert [x.turn_no for x in own] == list(range(120 // k))
+        if template is forgetful:
+            assert any(x.rewritten for x in own)
+        else:
+            assert "".join(x.piece for x in own) == template(turns[: 120 // k]) and not any(x.rewritten for x in own)
+            assert [x.piece[x.text_start : x.text_end] for x in own] == [t for _, t in turns[: 120 // k]]
