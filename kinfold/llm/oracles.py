@@ -54,5 +54,41 @@ def _chat() -> str:
     from turns group by conv_id"""
 
 
+def crc32(text: str) -> str:
+    """CRC-32 of ASCII ``text``, bit by bit."""
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint,
+      list_transform(string_split({text}, ''), lambda ch: ord(ch)::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+        lambda d, z: xor(d >> 1, case when d & 1 = 1 then 3988292384 else 0 end))), 4294967295)"""
+
+
+def _prefix_trie() -> str:
+    return f"""with rows as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p
+      from conversations where conv_id is not null),
+    convs as (select c, {crc32("cast(c as varchar)")} % 9 as h from (select distinct conv_id as c from rows)),
+    rebuilt as (select c, 0 as own, p, role, text from convs join rows on conv_id = c - c % 5 and p <= h
+      union all select c, 1, p, role, text from convs join rows on conv_id = c and p > h),
+    placed as (select c, row_number() over (partition by c order by own, p) as depth, role, text from rebuilt),
+    lists as (select c, depth, strlen(text) as bytes,
+        list([role, text]) over (partition by c order by depth) as prefix from placed),
+    prefixes as (select c, depth, bytes, prefix, prefix[:-2] as parent from lists
+      union all select c, 0, 0, [], null from convs),
+    lengths as (select c, max(depth) as length from prefixes group by c),
+    nodes as (select prefix, any_value(parent) as parent, depth, any_value(bytes) as bytes, min(c) as conv_id,
+        count(*) as n_convs, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c)
+          filter (where depth = length), '')) as ends_sha256
+      from prefixes join lengths using (c) group by prefix, depth),
+    children as (select parent as prefix, count(*) as n from nodes where depth > 0 group by parent),
+    below as (select p.prefix, sum(case when k.n is null then 1 else 0 end) as n_leaves,
+        sum((u.n_convs - 1) * u.bytes) as saved
+      from nodes u left join children k using (prefix) join prefixes p on p.c = u.conv_id and p.depth <= u.depth
+      group by p.prefix)
+    select v.conv_id, v.depth, up.conv_id as parent_conv_id, v.n_convs, coalesce(n, 0) as n_children,
+      cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, v.ends_sha256
+    from nodes v join below using (prefix) left join children using (prefix)
+    left join nodes up on up.prefix = v.parent and v.depth > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _url_filter(), "op3_chat": _chat()}
+    return {"op1_url_filter": _url_filter(), "op3_chat": _chat(), "op11_prefix_trie": _prefix_trie()}

@@ -9,6 +9,7 @@ from kinfold.llm import (
     decontaminate,
     fertility,
     mixing,
+    prefix_trie,
     secret_scan,
     sharding,
     simhash,
@@ -86,5 +87,9 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(docs, ["source", "text"], split=["text"])
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.nodes(prefix_trie.build_trie(table(spark, sf_dir, "conversations")))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
