@@ -90,5 +90,59 @@ def _prefix_trie() -> str:
     left join nodes up on up.prefix = v.parent and v.depth > 0"""
 
 
+def _merkle() -> str:
+    def leaf(text: str) -> str:
+        def part(value: str) -> str:
+            value = f"cast({value} as varchar)"
+            return f"coalesce(cast(strlen({value}) as varchar) || ':' || {value}, '-')"
+
+        return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def levels(name: str, leaves: str) -> str:
+        return f"""{name} as (select tree, 0 as lvl, p, d, n from {leaves}
+      union all select tree, lvl + 1, p // 8, sha256(string_agg(d, '' order by p)), (n + 7) // 8
+        from {name} where n > 1 group by tree, lvl, n, p // 8)"""
+
+    def runs(name: str, nodes: str) -> str:
+        """Of each node the others of its run, those before and those after it."""
+        return f"""{name} as (select a.tree, a.lvl, a.p,
+        coalesce(string_agg(b.d, '' order by b.p) filter (where b.p < a.p), '') as before,
+        coalesce(string_agg(b.d, '' order by b.p) filter (where b.p > a.p), '') as after
+      from {nodes} a join {nodes} b on a.tree = b.tree and a.lvl = b.lvl and a.p // 8 = b.p // 8
+      where a.n > 1 group by a.tree, a.lvl, a.p)"""
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""with recursive hashed as (select doc_id, coalesce('=' || lang, '') as tree, {leaf('text')} as leaf,
+        case when {crc32("cast(doc_id as varchar)")} % 3 = 0 then {leaf(f"translate(text, '{upper}', '{lower}')")} end as changed
+      from documents),
+    leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as p,
+        count(*) over (partition by tree) as n, leaf as d, row_number() over () as row from hashed),
+    {levels('nodes', 'leaves')},
+    subroots as (select '' as tree, tree as name, row_number() over (order by tree) - 1 as p,
+        count(*) over () as n, d from nodes where n = 1),
+    {levels('tops', 'subroots')},
+    {runs('low', 'nodes')},
+    {runs('high', 'tops')},
+    steps as (select row, lvl, before, after from leaves join low
+        on low.tree = leaves.tree and low.p = leaves.p // cast(pow(8, lvl) as bigint)
+      union all select row, 100 + lvl, before, after from leaves join subroots on name = leaves.tree
+        join high on high.p = subroots.p // cast(pow(8, lvl) as bigint)),
+    numbered as (select row, before, after, row_number() over (partition by row order by lvl) as k from steps),
+    proof as (select row, string_agg(before || after, '' order by k) as path, max(k) as last from numbered group by row),
+    folds as (select row, 0 as k, coalesce(changed, leaf) as d from leaves
+      union all select folds.row, numbered.k, sha256(before || d || after)
+        from folds join numbered on numbered.row = folds.row and numbered.k = folds.k + 1),
+    top as (select d as root from tops where n = 1)
+    select doc_id, leaf, subroots.d as subroot, root, sha256(coalesce(path, '')) as proof_sha256,
+      folds.d as folded_root, folds.d = root as verified
+    from leaves join subroots on name = leaves.tree cross join top left join proof using (row)
+    join folds on folds.row = leaves.row and folds.k = coalesce(last, 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _url_filter(), "op3_chat": _chat(), "op11_prefix_trie": _prefix_trie()}
+    return {
+        "op1_url_filter": _url_filter(),
+        "op3_chat": _chat(),
+        "op11_prefix_trie": _prefix_trie(),
+        "op13_merkle": _merkle(),
+    }

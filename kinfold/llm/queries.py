@@ -8,6 +8,8 @@ from kinfold.llm import (
     chat,
     decontaminate,
     fertility,
+    license_scan,
+    merkle,
     mixing,
     prefix_trie,
     secret_scan,
@@ -91,5 +93,13 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.nodes(prefix_trie.build_trie(table(spark, sf_dir, "conversations")))
 
 
+def op12_license_scan(spark, sf_dir):
+    return license_scan.digest(license_scan.find_licenses(table(spark, sf_dir, "documents")))
+
+
+def op13_merkle(spark, sf_dir):
+    return merkle.proofs(merkle.build_manifest(table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}

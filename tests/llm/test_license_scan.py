@@ -1,0 +1,120 @@
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from kinfold.llm import license_scan as scan
+from kinfold.llm.license_texts import PHRASES, TEMPLATES
+from tests.llm.conftest import DOCS, prose
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def base(text):
+    """n_words, places of the naming phrases, labels: by the contract's own pattern."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(lowered)
+    places = [
+        (i, label)
+        for phrase, label in PHRASES.items()
+        for i in range(len(words))
+        if words[i : i + len(phrase.split())] == phrase.split()
+    ]
+    starts = [i for i, _ in places]
+    return (
+        len(words), len(places), min(starts, default=None), max(starts, default=None),
+        ",".join(sorted({label for _, label in places})),
+    )
+
+
+def scanned(make_docs, texts, schema=DOCS):
+    rows = scan.digest(scan.find_licenses(make_docs(texts, schema))).collect()
+    return {r.doc_id: r for r in rows}
+
+
+def test_base_like_brute_force(make_docs, odd_texts):
+    rng = random.Random(1)
+    pieces = [*PHRASES, "CC-BY", "Apache\n License", "gnu general public", "MİT License", "cc bý", "cc", "by", "mit_license", "a1b", "é"]
+    texts = odd_texts + [" ".join(rng.choices(pieces, k=rng.randrange(12))) for _ in range(120)]
+    got = scanned(make_docs, texts)
+    for i, text in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(text)
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+        assert (r.score > 0) == (r.labels != "")
+
+
+def test_whole_notices_anywhere_in_a_text(make_docs):
+    texts = [f"{prose(i, 80)}\n# {text}\n{prose(i + 50, 60)}" for i, (_, text, _) in enumerate(TEMPLATES)]
+    got = scanned(make_docs, texts)
+    for i, (label, _, _) in enumerate(TEMPLATES):
+        assert label in got[i].labels.split(",") and got[i].score > 0.99, label
+        own = set(got[i].labels.split(",")) - set(got[i].base_labels.split(","))
+        assert own | {label} == own | set(got[i].base_labels.split(",")) & {label} | {label} and len(own) <= 1
+
+
+def test_changed_copies_and_names(make_docs):
+    """Names put in, a tenth of the words changed: found. Without its mandatory phrase, or half of it: not."""
+    _, text, phrases = TEMPLATES[0]
+    words = text.split()
+    rng = random.Random(3)
+    changed = [w if rng.random() > 0.1 or any(w.lower().strip(',."') in p for p in phrases) else "other" for w in words]
+    named = [*words[:20], *"copyright 2020 by Some Body and Some One Else".split(), *words[20:]]
+    texts = [
+        " ".join(changed), " ".join(named), text.replace("free of charge", "for a fee"), " ".join(words[: len(words) // 3]),
+        " ".join(rng.sample(words, len(words))), f"{text} {prose(1, 300)} {TEMPLATES[2][1]} {prose(2, 30)} {text}",
+    ]
+    got = scanned(make_docs, texts)
+    assert [got[i].labels for i in range(6)] == ["mit", "mit", "", "", "", "bsd-2-clause,mit"]
+    found = scan.find_licenses(make_docs(texts[5:])).first().notices
+    assert sorted(n.label for n in found) == ["bsd-2-clause", "mit", "mit"]
+
+
+def test_longer_notices_replace_what_they_hold(make_docs):
+    got = scanned(make_docs, [t for label, t, _ in TEMPLATES if label.startswith("bsd")])
+    assert [got[i].labels for i in (0, 1)] == ["bsd-2-clause", "bsd-3-clause"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rare_words_lose_no_alignment(seed):
+    """Every notice that all its places find, the index of rare places finds too."""
+    rng = random.Random(seed)
+    lexicon = scan.Lexicon()
+    weights = np.array([rng.random() * 5 + 0.01 for _ in lexicon.words])
+    index = scan.Index(lexicon, weights)
+    for _ in range(30):
+        words = []
+        for _, text, _ in rng.sample(TEMPLATES, 2):
+            notice = text.split()
+            words += [w for w in notice if rng.random() < rng.choice((0.6, 0.85, 1))] + prose(rng.random(), 40).split()
+        _, phrases, hits = lexicon.places(scan.words_of(" ".join(words).encode()))
+        places, said = defaultdict(list), defaultdict(list)
+        for at, w in hits:
+            places[w].append(at)
+        for at, p in phrases:
+            said[p].append(at)
+        want = set()
+        for t, notice in enumerate(lexicon.notices):
+            every = {at - q for w, qs in index.postings[t].items() for at in places.get(w, ()) for q in qs}
+            if every and index.aligned(t, every, places, said):
+                want.add(notice.label)
+        want -= {scan.REPLACES[x] for x in want if x in scan.REPLACES}
+        assert {m[0] for m in index.matches(hits, phrases)} == want
+
+
+def test_frequent_words_weigh_less(make_docs):
+    docs = make_docs(["merchantability license", "license", "license public", "nothing"])
+    lexicon = scan.Lexicon()
+    weights = scan.word_weights(scan.read_places(docs, lexicon), lexicon)
+    w = {word.decode(): weights[k] for word, k in lexicon.number.items()}
+    assert w["merchantability"] == w["public"] > 0 and w["warranties"] > w["public"]
+
+
+def test_empty_table_nulls_and_clashing_names(make_docs):
+    assert scanned(make_docs, []) == {}
+    schema = DOCS + ", hits string, n_words string, base string, notices string"
+    rows = [(None, None, None, None, None, "x", "y", "z", "w"), (4, "MIT License", "en", "s", 1, "x", "y", "z", "w")] * 2
+    out = scan.digest(scan.find_licenses(make_docs(rows, schema))).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.labels, r.score) for r in out) == [("4", 2, "mit", 1.0)] * 2 + [("None", 0, "", 0.0)] * 2

@@ -1,0 +1,130 @@
+import hashlib
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from kinfold.llm import merkle
+from tests.llm.conftest import DOCS, prose
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf(row, lower=False):
+    doc_id, text, lang, source, n_chars = row
+    if lower and text is not None:
+        text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    fields = [None if v is None else str(v) for v in (doc_id, source, lang, n_chars, text)]
+    return digest("".join("-" if v is None else f"{len(v.encode())}:{v}" for v in fields))
+
+
+def tree(leaves):
+    """The root, and each leaf's ``(siblings before, siblings after)`` level by level."""
+    paths = [[] for _ in leaves]
+    level, holds = leaves, [[i] for i in range(len(leaves))]
+    while len(level) > 1:
+        runs = [range(a, min(a + 8, len(level))) for a in range(0, len(level), 8)]
+        for run in runs:
+            for k in run:
+                for i in holds[k]:
+                    paths[i].append(([level[j] for j in run if j < k], [level[j] for j in run if j > k]))
+        level, holds = (
+            [digest("".join(level[j] for j in run)) for run in runs],
+            [[i for j in run for i in holds[j]] for run in runs],
+        )
+    return level[0], paths
+
+
+def brute_force(rows):
+    by_lang = defaultdict(list)
+    for row in rows:
+        by_lang[row[2]].append(row)
+    langs = sorted(by_lang, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for lang in langs:
+        own = sorted(by_lang[lang], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[lang] = own, *tree([leaf(r) for r in own])
+    root, tops = tree([trees[lang][1] for lang in langs]) if langs else (None, [])
+    out = []
+    for lang, top in zip(langs, tops):
+        own, subroot, paths = trees[lang]
+        for row, path in zip(own, paths):
+            path = path + top
+            proof = digest("".join("".join(a + b) for a, b in path))
+            now = leaf(row, row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0)
+            for before, after in path:
+                now = digest("".join(before) + now + "".join(after))
+            out.append((row[0], leaf(row), subroot, root, proof, now, now == root))
+    return sorted(out, key=str)
+
+
+def result(spark, rows, schema=DOCS, levels=merkle.LEVELS):
+    got = merkle.proofs(merkle.build_manifest(spark.createDataFrame(rows, schema), levels))
+    return sorted((tuple(r) for r in got.collect()), key=str)
+
+
+def made_up(sizes):
+    rows = []
+    for lang, n in sizes.items():
+        rows += [(len(rows) + i, prose(i, 4).title(), lang, f"s{i % 3}", i) for i in range(n)]
+    return rows
+
+
+@pytest.mark.parametrize("levels", [1, 4])
+def test_like_brute_force(spark, levels):
+    """Heights from none to several layers of blocks; more than eight languages."""
+    rows = made_up({"a": 1, "b": 8, "c": 9, "d": 64, "e": 65, "f": 300, "": 2, "g": 7, "h": 2, "i": 1, None: 3})
+    assert result(spark, rows, levels=levels) == brute_force(rows)
+
+
+def test_odd_rows(spark, odd_texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(odd_texts)]
+    rows += [(None, "Null Id", "en", None, None), (None, "Null Id", "en", None, None), (3, "Other", "en", "s", 1)]
+    rows += [(7, "Same", None, None, None)] * 5 + [(None,) * 5, (-4, "ÀB", "é", "", 0)]
+    got = result(spark, rows)
+    assert got == brute_force(rows)
+    assert len({r[3] for r in got}) == 1 and not all(r[6] for r in got)
+
+
+def test_empty_one_row_and_clashing_names(spark):
+    assert result(spark, []) == []
+    one = [(1, "One", "en", "s", 3)]
+    assert result(spark, one) == brute_force(one)
+    names = ("tree", "place", "position", "block", "kind", "leaf", "root", "nodes")
+    rows = made_up({"a": 20, "b": 3})
+    schema = DOCS + "".join(f", {n} string" for n in names)
+    assert result(spark, [(*r, *names) for r in rows], schema) == brute_force(rows)
+
+
+def test_row_order_does_not_matter(spark):
+    rows = made_up({"a": 40, "b": 12})
+    assert result(spark, rows[::-1]) == result(spark, rows)
+
+
+def test_addresses_are_a_van_emde_boas_order():
+    for levels in range(1, 6):
+        places = np.concatenate([merkle.addresses(levels, d) for d in range(levels)])
+        assert sorted(places) == list(range(merkle.size_of(levels)))
+        for depth in range(levels):
+            numbers = range(0, 8**depth, max(1, 8**depth // 50))
+            assert [merkle.address(levels, depth, i) for i in numbers] == [merkle.addresses(levels, depth)[i] for i in numbers]
+    # four levels: the top two first, then each of the 64 subtrees below, whole
+    below = merkle.addresses(4, 3).reshape(64, 8)
+    assert (below == 9 + 9 * np.arange(64)[:, None] + 1 + np.arange(8)).all()
+    assert (merkle.addresses(4, 2) == 9 + 9 * np.arange(64)).all()
+
+
+def test_every_changed_byte_is_found(spark):
+    """A leaf, a sibling or a level that differs folds to another root."""
+    leaves = [hashlib.sha256(b"%d" % i).digest() for i in range(70)]
+    root, nodes = merkle.build_block(b"".join(leaves), 3)
+    levels = merkle.block_levels(nodes, 3, 70)
+    for place in (0, 7, 63, 64, 69):
+        path = merkle.siblings(levels, place)
+        assert merkle.fold(leaves[place], path, 0, 70, place) == (root, len(path))
+        for at in range(0, len(path), 32):
+            wrong = path[:at] + bytes([path[at] ^ 1]) + path[at + 1 :]
+            assert merkle.fold(leaves[place], wrong, 0, 70, place)[0] != root
