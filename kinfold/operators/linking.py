@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import fixed_values as fixed
+from kinfold.functions.tags import DEFAULT_TAGS, SourceTags
 from kinfold.operators import skew
 from kinfold.operators.standardize import node_record_id
 from kinfold.operators.workspace import Workspace
@@ -57,24 +58,24 @@ def link_edges(records: DataFrame, n_records: int, heavy_rows: int | None = None
     return reduce(DataFrame.unionByName, parts).where("hub_size > 1")
 
 
-def block_sizes(records: DataFrame) -> DataFrame:
+def block_sizes(records: DataFrame, tags: SourceTags = DEFAULT_TAGS) -> DataFrame:
     """Per block: records, sources, first record, and the pairs that linking by hubs avoids."""
     n = F.col("n_records").cast("double")
     sources = [
-        F.count_if(F.col("source") == s).alias(f"n_{s.lower()}") for s in fixed.SOURCES
+        F.count_if(F.col("source") == s).alias(f"n_{s.lower()}") for s in tags.tags
     ]
     return (
         records.groupBy("block_key")
         .agg(F.count("*").alias("n_records"), *sources, F.min("node").alias("first_node"))
-        .withColumn("first_id", node_record_id(F.col("first_node")))
+        .withColumn("first_id", node_record_id(F.col("first_node"), tags))
         .withColumn("n_pairs", n * (n - 1) / 2)
     )
 
 
-def block_histogram(records: DataFrame) -> DataFrame:
+def block_histogram(records: DataFrame, tags: SourceTags = DEFAULT_TAGS) -> DataFrame:
     """How many blocks have each size, and how many records they hold."""
     return (
-        block_sizes(records)
+        block_sizes(records, tags)
         .groupBy(F.col("n_records").alias("block_size"))
         .agg(
             F.count("*").alias("n_blocks"),
@@ -85,7 +86,7 @@ def block_histogram(records: DataFrame) -> DataFrame:
 
 
 def block_candidates(
-    records: DataFrame, n_records: int, heavy_rows: int | None = None
+    records: DataFrame, n_records: int, heavy_rows: int | None = None, tags: SourceTags = DEFAULT_TAGS
 ) -> DataFrame:
     """Each record of a block next to the block's first record, with the evidence they share."""
     rows = records.select("node", "block_key", "email", "phone", "contactName")
@@ -106,17 +107,19 @@ def block_candidates(
 
     return paired.select(
         "block_key",
-        node_record_id(F.col("anchor.node")).alias("anchor_id"),
-        node_record_id(F.col("node")).alias("record_id"),
+        node_record_id(F.col("anchor.node"), tags).alias("anchor_id"),
+        node_record_id(F.col("node"), tags).alias("record_id"),
         same("email").cast("int").alias("same_email"),
         same("phone").cast("int").alias("same_phone"),
         same("contactName").cast("int").alias("same_contact"),
     )
 
 
-def block_batches(records: DataFrame, workspace: Workspace, size: int = fixed.BLOCKS_PER_BATCH) -> DataFrame:
+def block_batches(
+    records: DataFrame, workspace: Workspace, size: int = fixed.BLOCKS_PER_BATCH, tags: SourceTags = DEFAULT_TAGS
+) -> DataFrame:
     """Blocks in first-seen order, cut into batches of ``size`` blocks."""
-    blocks = block_sizes(records).select("block_key", "first_node", "n_records")
+    blocks = block_sizes(records, tags).select("block_key", "first_node", "n_records")
     ranked = skew.number_rows(blocks, ["first_node"], workspace, "block_no")
     return ranked.withColumn("batch", F.floor((F.col("block_no") - 1) / size) + 1)
 

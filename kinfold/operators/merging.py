@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import fixed_values as fixed
 from kinfold.functions import standard
+from kinfold.functions.tags import DEFAULT_TAGS, SourceTags
 from kinfold.operators import skew
 from kinfold.operators.standardize import node_record_id, node_source
 
@@ -161,27 +162,28 @@ def merge(
     n_records: int,
     priority: Mapping[str, int] | None = None,
     heavy_rows: int | None = None,
+    tags: SourceTags = DEFAULT_TAGS,
 ) -> DataFrame:
     """One row per entity: values, the node each value came from, confidence, reasoning."""
-    priority = fixed.SOURCE_PRIORITY if priority is None else priority
+    priority = tags.priority if priority is None else priority
     linked = skew.split_heavy(resolved.where("linked"), "root", n_records, heavy_rows)
     parts = [merge_linked(part, priority) for part in linked if part is not None]
     parts.append(merge_single(resolved.where("not linked")))
     merged = reduce(DataFrame.unionByName, parts)
-    return merged.withColumn("entity_id", node_record_id(F.col("root")))
+    return merged.withColumn("entity_id", node_record_id(F.col("root"), tags))
 
 
 def entities(merged: DataFrame) -> DataFrame:
     return merged.select("entity_id", *fixed.UNIFIED_FIELDS, "confidence", "reasoning")
 
 
-def provenance_array() -> Column:
+def provenance_array(tags: SourceTags = DEFAULT_TAGS) -> Column:
     """The five ``(field, source, value)`` entries of an entity, in field order."""
     return F.array(
         *[
             F.struct(
                 F.lit(f).alias("field"),
-                node_source(F.col(f"{f}_node")).alias("source"),
+                node_source(F.col(f"{f}_node"), tags).alias("source"),
                 F.col(f).alias("value"),
             )
             for f in fixed.UNIFIED_FIELDS
@@ -189,26 +191,26 @@ def provenance_array() -> Column:
     )
 
 
-def field_provenance(merged: DataFrame) -> DataFrame:
-    return merged.select("entity_id", F.inline(provenance_array()))
+def field_provenance(merged: DataFrame, tags: SourceTags = DEFAULT_TAGS) -> DataFrame:
+    return merged.select("entity_id", F.inline(provenance_array(tags)))
 
 
-def entity_members(resolved: DataFrame) -> DataFrame:
+def entity_members(resolved: DataFrame, tags: SourceTags = DEFAULT_TAGS) -> DataFrame:
     """Membership rows, each once."""
     rows = resolved.select(
-        node_record_id(F.col("root")).alias("entity_id"), F.col("id").alias("record_id")
+        node_record_id(F.col("root"), tags).alias("entity_id"), F.col("id").alias("record_id")
     )
     return rows.dropDuplicates(["entity_id", "record_id"])
 
 
-def field_winners(merged: DataFrame) -> DataFrame:
+def field_winners(merged: DataFrame, tags: SourceTags = DEFAULT_TAGS) -> DataFrame:
     """Winner per entity and field, in long form, with the record it came from."""
     won = F.array(
         *[
             F.struct(
                 F.lit(f).alias("field"),
-                node_source(F.col(f"{f}_node")).alias("source"),
-                node_record_id(F.col(f"{f}_node")).alias("record_id"),
+                node_source(F.col(f"{f}_node"), tags).alias("source"),
+                node_record_id(F.col(f"{f}_node"), tags).alias("record_id"),
                 F.col(f).alias("value"),
             )
             for f in fixed.UNIFIED_FIELDS

@@ -5,34 +5,35 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import fixed_values as fixed
 from kinfold.functions import standard
+from kinfold.functions.tags import DEFAULT_TAGS, SourceTags
 
 # A record's node number: its source's place in the load order above its ordinal. Node order is
 # load order, and a node converts back to its record id without a join.
 ORDINAL_BITS = 52
 
 
-def node_number(source: Column, ordinal: Column) -> Column:
+def node_number(source: Column, ordinal: Column, tags: SourceTags = DEFAULT_TAGS) -> Column:
     """Fails the run on an ordinal that is null, negative or has over ``ORDINAL_BITS`` bits."""
-    place = F.array_position(F.array(*[F.lit(s) for s in fixed.SOURCES]), source)
+    place = F.array_position(F.array(*[F.lit(s) for s in tags.tags]), source)
     ordinal = ordinal.cast("long")
     unfit = F.raise_error(F.concat(F.lit("unfit ordinal: "), F.coalesce(ordinal.cast("string"), F.lit("null"))))
     node = F.shiftleft(place, ORDINAL_BITS).bitwiseOR(ordinal)
     return F.when(ordinal.between(0, (1 << ORDINAL_BITS) - 1), node).otherwise(unfit.cast("long"))
 
 
-def node_source(node: Column) -> Column:
+def node_source(node: Column, tags: SourceTags = DEFAULT_TAGS) -> Column:
     place = F.shiftright(node, ORDINAL_BITS).cast("int")
-    return F.element_at(F.array(*[F.lit(s) for s in fixed.SOURCES]), place)
+    return F.element_at(F.array(*[F.lit(s) for s in tags.tags]), place)
 
 
-def node_record_id(node: Column) -> Column:
+def node_record_id(node: Column, tags: SourceTags = DEFAULT_TAGS) -> Column:
     ordinal = node.bitwiseAND(F.lit((1 << ORDINAL_BITS) - 1))
-    return F.concat(node_source(node), ordinal.cast("string"))
+    return F.concat(node_source(node, tags), ordinal.cast("string"))
 
 
 def raw_map(columns: Sequence[str]) -> Column:
@@ -47,9 +48,10 @@ def raw_fields(
     source: str,
     mapping: Mapping[str, str] | None = None,
     ordinal: str = "ordinal",
+    tags: SourceTags = DEFAULT_TAGS,
 ) -> DataFrame:
     """Keys, raw payload and the mapped raw value of each canonical field ("" if unmapped)."""
-    if source not in fixed.SOURCES:
+    if source not in tags:
         raise ValueError(f"unknown source: {source}")
     mapping = fixed.DEFAULT_MAPPINGS[source] if mapping is None else mapping
     by_field = {field: column for column, field in mapping.items()}
@@ -60,7 +62,7 @@ def raw_fields(
 
     number = F.col(ordinal).cast("long")
     return raw.select(
-        node_number(F.lit(source), number).alias("node"),
+        node_number(F.lit(source), number, tags).alias("node"),
         F.concat(F.lit(source), number.cast("string")).alias("id"),
         F.lit(source).alias("source"),
         number.alias("ordinal"),
@@ -90,17 +92,20 @@ def standardize(
     source: str,
     mapping: Mapping[str, str] | None = None,
     ordinal: str = "ordinal",
+    tags: SourceTags = DEFAULT_TAGS,
 ) -> DataFrame:
     """Standard records of one source."""
-    return standard_fields(raw_fields(raw, source, mapping, ordinal))
+    return standard_fields(raw_fields(raw, source, mapping, ordinal, tags))
 
 
 def standardize_all(
-    raws: Mapping[str, DataFrame], mappings: Mapping[str, Mapping[str, str]] | None = None
+    raws: Mapping[str, DataFrame],
+    mappings: Mapping[str, Mapping[str, str]] | None = None,
+    tags: SourceTags = DEFAULT_TAGS,
 ) -> DataFrame:
     """Standard records of all sources, in one bag."""
     mappings = fixed.DEFAULT_MAPPINGS if mappings is None else mappings
-    parts = [raw_fields(df, tag, mappings[tag]) for tag, df in raws.items()]
+    parts = [raw_fields(df, tag, mappings[tag], tags=tags) for tag, df in raws.items()]
     return standard_fields(reduce(DataFrame.unionByName, parts))
 
 
@@ -113,13 +118,20 @@ def raw_from_json(stored: DataFrame) -> DataFrame:
 
 
 def upsert_latest(records: DataFrame, key: str, version: str) -> DataFrame:
-    """One row per key: that of the highest version; of rows alike in both, one with all its columns.
+    """One row per key: that of the highest version, null the lowest; of rows alike in both, the one with
+    the greatest contents, column by column, nulls lowest. Rows without a key replace nothing and all stay.
 
-    Only key and version are aggregated; the rows themselves move once, and those that lost are
-    dropped before the last step.
+    The order is total, so the result does not depend on the order of rows or loads. Every task keeps its
+    own first row of a key before the rows move.
     """
-    latest = records.groupBy(F.col(key).alias("_key")).agg(F.max(version).alias("_version"))
-    won = records.join(
-        latest.hint("shuffle_hash"), (F.col(key) == F.col("_key")) & (F.col(version) == F.col("_version"))
+    others = [
+        F.sort_array(F.map_entries(F.col(f"`{name}`"))) if kind.startswith("map<") else F.col(f"`{name}`")
+        for name, kind in records.dtypes
+        if name not in (key, version)
+    ]
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    order = [c.desc_nulls_last() for c in (F.col(version), *others)]
+    ranked = records.withColumn("_own", own).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(key, "_own").orderBy(*order))
     )
-    return won.drop("_key", "_version").dropDuplicates([key])
+    return ranked.where("_rank = 1").drop("_own", "_rank")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import fixed_values as fixed
 from kinfold.functions import standard
+from kinfold.functions.tags import DEFAULT_TAGS, SourceTags
 from kinfold.operators import merging, skew
 from kinfold.operators.standardize import node_record_id, raw_from_json
 from kinfold.operators.workspace import Workspace
@@ -23,6 +24,7 @@ def member_lists(
     workspace: Workspace,
     heavy_rows: int | None = None,
     list_rows: int = LIST_ROWS,
+    tags: SourceTags = DEFAULT_TAGS,
 ) -> DataFrame:
     """``(entity_id, part, n_parts, members)``: member ids in load order, ``list_rows`` to a list.
 
@@ -47,7 +49,7 @@ def member_lists(
         parts.groupBy("root", "part", "n")
         .agg(F.sort_array(F.collect_list(F.struct("node", "id"))).alias("own"))
         .select(
-            node_record_id(F.col("root")).alias("entity_id"),
+            node_record_id(F.col("root"), tags).alias("entity_id"),
             "part",
             F.ceil(F.col("n") / list_rows).alias("n_parts"),
             F.col("own.id").alias("members"),
@@ -55,10 +57,10 @@ def member_lists(
     )
 
 
-def unified_view(merged: DataFrame) -> DataFrame:
+def unified_view(merged: DataFrame, tags: SourceTags = DEFAULT_TAGS) -> DataFrame:
     """Entities by company, with nested provenance: one row each, whatever their size. Their members
     are in ``member_lists``."""
-    return merged.withColumn("provenance", merging.provenance_array()).select(
+    return merged.withColumn("provenance", merging.provenance_array(tags)).select(
         "entity_id",
         *fixed.UNIFIED_FIELDS,
         "confidence",
@@ -96,40 +98,43 @@ def provenance_wide(provenance: DataFrame) -> DataFrame:
     return provenance.groupBy("entity_id").pivot("field", list(fixed.UNIFIED_FIELDS)).agg(F.min("source"))
 
 
-def source_bits(source: Column) -> Column:
+def source_bits(source: Column, tags: SourceTags = DEFAULT_TAGS) -> Column:
+    """One bit per source, of at most 62."""
+    if len(tags.tags) > 62:
+        raise ValueError("combinations of over 62 sources are not reported")
     return F.coalesce(
-        *[F.when(source == s, F.lit(1 << i)) for i, s in enumerate(fixed.SOURCES)], F.lit(0)
+        *[F.when(source == s, F.lit(1 << i).cast("long")) for i, s in enumerate(tags.tags)], F.lit(0)
     )
 
 
-def source_names(bits: Column) -> Column:
+def source_names(bits: Column, tags: SourceTags = DEFAULT_TAGS) -> Column:
     return F.concat_ws(
         "+",
-        *[F.when(bits.bitwiseAND(F.lit(1 << i)) > 0, F.lit(s)) for i, s in enumerate(fixed.SOURCES)],
+        *[F.when(bits.bitwiseAND(F.lit(1 << i).cast("long")) > 0, F.lit(s)) for i, s in enumerate(tags.tags)],
     )
 
 
-def source_overlap(resolved: DataFrame) -> DataFrame:
+def source_overlap(resolved: DataFrame, tags: SourceTags = DEFAULT_TAGS) -> DataFrame:
     """How many entities each combination of sources shares."""
     per_entity = resolved.groupBy("root").agg(
-        F.bit_or(source_bits(F.col("source"))).alias("bits"), F.count("*").alias("n")
+        F.bit_or(source_bits(F.col("source"), tags)).alias("bits"), F.count("*").alias("n")
     )
     return per_entity.groupBy("bits").agg(
         F.count("*").alias("n_entities"), F.sum("n").alias("n_records")
-    ).select(source_names(F.col("bits")).alias("sources"), "n_entities", "n_records")
+    ).select(source_names(F.col("bits"), tags).alias("sources"), "n_entities", "n_records")
 
 
-def run_summary(resolved: DataFrame) -> DataFrame:
+def run_summary(resolved: DataFrame, tags: SourceTags = DEFAULT_TAGS) -> DataFrame:
     """Counts of a run: records, records per source, entities (their root records)."""
     by_source = [
-        F.count_if(F.col("source") == s).alias(f"records_{s.lower()}") for s in fixed.SOURCES
+        F.count_if(F.col("source") == s).alias(f"records_{s.lower()}") for s in tags.tags
     ]
     entities = F.count_if(F.col("node") == F.col("root")).alias("unified_entities")
     return resolved.agg(F.count("*").alias("source_records"), *by_source, entities)
 
 
 def field_conflicts(
-    resolved: DataFrame, n_records: int, heavy_rows: int | None = None
+    resolved: DataFrame, n_records: int, heavy_rows: int | None = None, tags: SourceTags = DEFAULT_TAGS
 ) -> DataFrame:
     """Distinct non-blank values, and who says so, of every field on which members disagree."""
 
@@ -138,7 +143,7 @@ def field_conflicts(
             *[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fixed.UNIFIED_FIELDS]
         )
         return (
-            records.select("root", source_bits(F.col("source")).alias("bits"), F.inline(pairs))
+            records.select("root", source_bits(F.col("source"), tags).alias("bits"), F.inline(pairs))
             .where("value <> ''")
             .groupBy("root", "field", "value")
             .agg(F.count("*").alias("n_records"), F.bit_or("bits").alias("bits"))
@@ -156,12 +161,12 @@ def field_conflicts(
             skew.lookup_join(found, counted, ["root", "field"], "_rows", left_rows, "inner", heavy_rows)
         )
     return reduce(DataFrame.unionByName, parts).where("n_values > 1").select(
-        node_record_id(F.col("root")).alias("entity_id"),
+        node_record_id(F.col("root"), tags).alias("entity_id"),
         "field",
         "value",
         "n_values",
         "n_records",
-        source_names(F.col("bits")).alias("sources"),
+        source_names(F.col("bits"), tags).alias("sources"),
     )
 
 
@@ -219,6 +224,33 @@ CONTACT_PATTERNS = {
 }
 
 
+# Phones as people write them: +1, 1 or neither in front, the area code in brackets or not, and a dot, a
+# hyphen, a blank or nothing between the parts; no word character on either side.
+_START, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_COUNTRY, _AREA = rf"(?:\+1|{_START}1)[-. ]?", r"[0-9]{3}[-. ]?"
+_NUMBER = rf"[0-9]{{3}}[-. ]?[0-9]{{4}}{_END}"
+PHONE_LAYOUTS = rf"(?:(?:{_COUNTRY})?\([0-9]{{3}}\)[-. ]?|(?:{_COUNTRY}|{_START}){_AREA}){_NUMBER}"
+
+
+def phones_in_text(documents: DataFrame) -> DataFrame:
+    """Phones of all layouts found in whole texts, leftmost first and not overlapping, in standard form:
+    ``(value, n_mentions, n_documents, n_layouts)``."""
+    found = F.regexp_extract_all("text", F.lit(PHONE_LAYOUTS), F.lit(0))
+    numbers = F.when(F.col("text").rlike("[0-9]{4}"), found).otherwise(F.array().cast("array<string>"))
+    each = documents.select("doc_id", F.explode(numbers).alias("found"))
+    layout = F.regexp_replace("found", "[0-9]", "9")
+    per_document = each.groupBy(standard.phone(F.col("found")).alias("value"), layout.alias("layout"), "doc_id").agg(
+        F.count("*").alias("n")
+    )
+    # two levels, so that no value's documents meet in one task
+    by_document = per_document.groupBy("value", "doc_id").agg(F.sum("n").alias("n"), F.collect_set("layout").alias("layouts"))
+    return by_document.groupBy("value").agg(
+        F.sum("n").alias("n_mentions"),
+        F.count("*").alias("n_documents"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("layouts")))).alias("n_layouts"),
+    )
+
+
 def contacts_in_text(documents: DataFrame) -> DataFrame:
     """Standardised emails and phones found in whole texts, with how often each occurs."""
 

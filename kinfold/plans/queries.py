@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import fixed_values as fixed
 from kinfold.functions import standard
-from kinfold.operators import linking, merging, profiling, quality, query, views
+from kinfold.functions.tags import SourceTags
+from kinfold.operators import linking, merging, neighbours, profiling, quality, query, spec_index, views
 from kinfold.operators.standardize import (
     node_record_id,
     raw_from_json,
@@ -19,9 +20,10 @@ from kinfold.operators.standardize import (
     upsert_latest,
 )
 from kinfold.operators.workspace import Workspace
-from kinfold.plans import driver_tables
+from kinfold.plans import driver_tables, incremental
 from kinfold.plans.unify import Unified, unify_records, unify_sources
 from kinfold.sources import delimited, markup, payload, sinks
+from kinfold.sources import lookup_tables as lookups
 from kinfold.streaming.progress import batch_progress
 
 FIELDS = list(fixed.UNIFIED_FIELDS)
@@ -33,6 +35,7 @@ _runs: dict[tuple[str, str], tuple[Unified, dict[str, DataFrame]]] = {}
 
 def forget_runs() -> None:
     _runs.clear()
+    _lookups.clear()
 
 
 def run(spark: SparkSession, sf_dir: str) -> tuple[Unified, dict[str, DataFrame]]:
@@ -92,6 +95,21 @@ def export_csv(spark, sf_dir, workspace):
     return path
 
 
+def ingest_csv_multi_line(spark, sf_dir):
+    """Customer fragments written as CSV files with line breaks inside quotes, read back in splits."""
+    workspace = Workspace(spark)
+    raw = driver_tables.raw_source(spark, sf_dir, "A")
+    columns = list(fixed.DEFAULT_MAPPINGS["A"])
+    broken = F.when(F.col("ordinal") % 3 == 0, F.replace(F.col("Company Name"), F.lit(" "), F.lit(" \n")))
+    padded = F.when(F.col("ordinal") % 5 == 0, F.concat(F.lit("\n\n"), F.col("contact")))
+    raw = raw.withColumn("Company Name", F.coalesce(broken, "Company Name"))
+    ordered = raw.withColumn("contact", F.coalesce(padded, "contact")).repartitionByRange("ordinal")
+    path = f"{workspace.path}/export-csv-lines"
+    ordered.sortWithinPartitions("ordinal").select(*columns).write.csv(path, header=True, quote='"', escape='"')
+    rows = delimited.read_csv(spark, path, columns, workspace, multi_line=True)
+    return standardize(rows, "A").select("id", *FIELDS, "block_key")
+
+
 def ingest_json(spark, sf_dir):
     """Supplier fragments written as payload documents, read back through the JSON source."""
     workspace = Workspace(spark)
@@ -261,6 +279,12 @@ def doc_contacts(spark, sf_dir):
     return views.contacts_in_text(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def doc_phones(spark, sf_dir):
+    """Phones of every layout that standardisation knows, in whole texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return views.phones_in_text(docs)
+
+
 # --- blocks, links, clusters, entities -----------------------------------------------------
 
 
@@ -288,6 +312,66 @@ def reloaded_entities(spark, sf_dir):
     return merging.entities(unified.merged)
 
 
+def successive_loads(spark, sf_dir):
+    """Four loads in three deliveries. The first lacks every tenth order; the second brings other phones
+    of source B, and orders without a load number; the third, customers that moved to another block, some
+    of them twice under one number."""
+    raws = driver_tables.raw_sources(spark, sf_dir)
+    a, b, c = (raws[s] for s in fixed.SOURCES)
+    moved = a.where("ordinal % 11 = 0").withColumn("Company Name", F.concat(F.lit("Moved "), F.col("Company Name")))
+    twice = moved.where("ordinal % 22 = 0").withColumn("contact", F.concat(F.lit("zz "), F.col("contact")))
+    phones = b.where("ordinal % 3 <> 0").withColumn("tel", F.concat(F.lit("2"), F.substring(F.col("tel"), 2, 99)))
+    unnumbered = c.where("ordinal % 5 = 0").withColumn("Location", F.lit("Texas"))
+
+    def standard(raws, load):
+        return standardize_all(raws).withColumn("load", F.lit(load).cast("int"))
+
+    return [
+        standard({"A": a, "B": b, "C": c.where("ordinal % 10 <> 0")}, 0),
+        standard({"B": phones}, 1).unionByName(standard({"C": unnumbered}, None)),
+        standard({"A": moved.unionByName(twice)}, 2),
+    ]
+
+
+def upserted_records(spark, sf_dir):
+    """Three deliveries put into a store of source records, and what it then holds."""
+    workspace = Workspace(spark)
+    store = sinks.record_store(spark, f"{workspace.path}/store")
+    for load in successive_loads(spark, sf_dir):
+        version = sinks.upsert_source_records(store, load, workspace)
+    return store.read("source_records", version).select("id", "source", "raw_json", *FIELDS, "load")
+
+
+def incremental_entities(spark, sf_dir):
+    """The same deliveries, after each of which only the blocks that changed are unified again."""
+    workspace = Workspace(spark)
+    store = incremental.open_store(spark, f"{workspace.path}/store")
+    for load in successive_loads(spark, sf_dir):
+        incremental.apply_load(store, load, workspace)
+    return incremental.entity_tables(store)["entities"]
+
+
+#: Tag, place in the load order, authority.
+FIVE_TAGS = [("lead", 1, 4), ("web", 2, 5), ("erp", 3, 3), ("shop", 4, 2), ("crm-eu", 5, 1)]
+
+
+def five_source_entities(spark, sf_dir):
+    """Five sources whose tags and authority are rows of a table; three of them share a layout."""
+    raws = driver_tables.raw_sources(spark, sf_dir)
+    a, b, c = (raws[s] for s in fixed.SOURCES)
+    lead = a.where("ordinal % 3 = 0").withColumns({"Phone": F.lit(""), "State": F.lit("")})
+    five = {
+        "erp": a, "crm-eu": b, "web": c.where("ordinal % 2 = 0"), "shop": c.where("ordinal % 2 = 1"), "lead": lead
+    }
+    layout = {"erp": "A", "crm-eu": "B", "web": "C", "shop": "C", "lead": "A"}
+    mappings = {tag: fixed.DEFAULT_MAPPINGS[s] for tag, s in layout.items()}
+    tags = SourceTags.from_table(spark.createDataFrame(FIVE_TAGS, "tag string, load_order int, priority int"))
+    unified = unify_sources(five, Workspace(spark), mappings, tags=tags)
+    view = views.unified_view(unified.merged, tags)
+    entries = F.transform("provenance", lambda p: F.concat(p["field"], F.lit("="), p["source"], F.lit(":"), p["value"]))
+    return view.withColumn("provenance", F.array_join(entries, "|"))
+
+
 #: So low that the hot block and the hot cluster of the skewed table are heavy at every scale.
 SKEWED_HEAVY_ROWS = 200
 
@@ -351,6 +435,11 @@ def field_provenance(spark, sf_dir):
     return merging.field_winners(unified.merged)
 
 
+def neighbour_pairs(spark, sf_dir):
+    unified, _ = run(spark, sf_dir)
+    return neighbours.neighbour_pairs(unified.records, Workspace(spark))
+
+
 def pair_scores(spark, sf_dir):
     unified, _ = run(spark, sf_dir)
     return views.member_scores(unified.resolved, unified.merged, unified.n_records)
@@ -385,6 +474,47 @@ def entity_lineage(spark, sf_dir):
     return fed.withColumn("raw", F.array_join(F.map_values("raw"), "|"))
 
 
+_lookups: dict[tuple[str, str], str] = {}
+
+
+def lookup_tables(spark, sf_dir):
+    """The run's tables in buckets, written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _lookups:
+        unified, _ = run(spark, sf_dir)
+        path = f"{Workspace(spark).path}/lookup"
+        name = f"lookup_{path.rpartition('run-')[2].partition('/')[0]}"
+        lookups.write_lookup_tables(unified, path, name, n_buckets=16)
+        _lookups[key] = name
+    return lookups.read_lookup_tables(spark, _lookups[key])
+
+
+def bucketed_field_winner(spark, sf_dir):
+    return lookups.field_winner(lookup_tables(spark, sf_dir), "phone")
+
+
+def bucketed_lineage(spark, sf_dir):
+    fed = lookups.entity_lineage(lookup_tables(spark, sf_dir))
+    return fed.withColumn("raw", F.array_join(F.map_values("raw"), "|"))
+
+
+def published_counts(spark, sf_dir):
+    """Rows and nulls per table, counted while a version was written that passed all checks, and the rows
+    that readers of the announced version find."""
+    unified, _ = run(spark, sf_dir)
+    root = f"{Workspace(spark).path}/published"
+    sinks.publish(unified, root, keep=1)
+    tables = sinks.read_published(spark, root)
+    announced = sinks.announced_rows(spark, root)
+    parts = [
+        df.agg(F.count("*").alias("n_rows")).select(
+            F.lit(t).alias("table_name"), F.lit(announced[t]).cast("long").alias("n_announced"), "n_rows"
+        )
+        for t, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def source_samples(spark, sf_dir):
     sample = views.source_samples(standard_records(spark, sf_dir))
     return sample.withColumn("raw", F.array_join(F.map_values("raw"), "|"))
@@ -411,6 +541,41 @@ SPECS = {
     "all": query.QuerySpec("count"),
 }
 
+
+#: Filters of spec number ``i`` of 5,000, five kinds by ``i % 5``; SQL text that other engines read alike.
+N_SPECS = 5_000
+_J = "cast(floor(i / 5) as int)"
+_STATE_OF = f"split_part('CA,NY,TX,WA,IL', ',', {_J} % 5 + 1)"
+SPEC_KINDS = [
+    [("state", "=", _STATE_OF), ("confidence", ">=", f"'0.' || cast(5000 + {_J} * 4 as string)")],
+    [("company", ">=", f"'Firm' || cast({_J} as string)"), ("company", "<", f"'Firm' || cast({_J} + 7 as string) || '~'")],
+    [
+        (
+            "contactName",
+            "=",
+            f"split_part('{driver_tables.FIRST}', ',', {_J} % 10 + 1) || ' ' || "
+            f"split_part('{driver_tables.LAST}', ',', cast(floor({_J} / 10) as int) % 10 + 1)",
+        ),
+        ("state", "!=", "'TX'"),
+    ],
+    [("state", "=", _STATE_OF), ("phone", "LIKE", f"cast({_J} as string)")],
+    [("confidence", ">", f"'0.' || cast(5000 + {_J} * 4 as string)"), ("confidence", "<=", f"'0.' || cast(5100 + {_J} * 4 as string)")],
+]
+
+
+def spec_table_counts(spark, sf_dir):
+    """Five thousand specs, given as a table, in one scan of the entities."""
+    kinds = " ".join(
+        f"when i % 5 = {k} then array("
+        + ", ".join(f"named_struct('column', '{c}', 'op', '{op}', 'value', {value})" for c, op, value in filters)
+        + ")"
+        for k, filters in enumerate(SPEC_KINDS)
+    )
+    numbers = spark.range(N_SPECS).select(F.col("id").alias("i"))
+    specs = numbers.selectExpr("'q' || cast(i as string) as question", f"case {kinds} end as filters")
+    return spec_index.count_spec_table(run(spark, sf_dir)[1]["entities"], specs)
+
+
 def unified_schema(spark, sf_dir):
     profile = profiling.column_profile(standard_records(spark, sf_dir))
     profile = Workspace(spark).stage(profile, "profile")
@@ -441,6 +606,7 @@ def _check(check):
 def queries():
     return {
         "ingest_csv": ingest_csv,
+        "ingest_csv_multi_line": ingest_csv_multi_line,
         "ingest_json": ingest_json,
         "html_table_rows": html_table_rows,
         "ingest_html": ingest_html,
@@ -448,6 +614,7 @@ def queries():
         "source_records_sink": source_records_sink,
         "entity_tables_sink": entity_tables_sink,
         "files_to_tables": files_to_tables,
+        "published_counts": published_counts,
         "std_state": _standardised("state"),
         "std_phone": _standardised("phone"),
         "std_email": _standardised("email"),
@@ -458,6 +625,7 @@ def queries():
         "apply_mapping": apply_mapping,
         "raw_roundtrip": raw_roundtrip,
         "doc_contacts": doc_contacts,
+        "doc_phones": doc_phones,
         "spec_count_state": _spec(operation="count", filters=(query.Filter("state", "=", "CA"),)),
         "spec_select_like": _spec(
             operation="select", filters=(query.Filter("email", "LIKE", "MARSH"),), limit=50
@@ -472,6 +640,7 @@ def queries():
             filters=(query.Filter("company", ">=", "Firm2"), query.Filter("company", "<", "Firm5")),
         ),
         "spec_batch_counts": _table(lambda t: query.count_specs(t["entities"], SPECS)),
+        "spec_table_counts": spec_table_counts,
         "unified_view": unified_view,
         "entity_member_lists": entity_member_lists,
         "entity_lineage": entity_lineage,
@@ -479,6 +648,8 @@ def queries():
             lambda t: views.field_winner(t["field_provenance"], t["entities"], "phone")
         ),
         "candidate_pairs": candidate_pairs,
+        "bucketed_field_winner": bucketed_field_winner,
+        "bucketed_lineage": bucketed_lineage,
         "provenance_wide": _table(lambda t: views.provenance_wide(t["field_provenance"])),
         "source_overlap": lambda s, d: views.source_overlap(run(s, d)[0].resolved),
         "block_sizes": block_sizes,
@@ -496,11 +667,15 @@ def queries():
         "entity_members": _table(lambda t: t["entity_members"]),
         "upsert_latest": upsert,
         "reloaded_entities": reloaded_entities,
+        "upserted_records": upserted_records,
+        "five_source_entities": five_source_entities,
+        "incremental_entities": incremental_entities,
         "skewed_entities": skewed_entities,
         "link_edges": link_edges,
         "clusters": clusters,
         "entities": _table(lambda t: t["entities"]),
         "pair_scores": pair_scores,
+        "neighbour_pairs": neighbour_pairs,
         "column_profile": lambda s, d: profiling.column_profile(standard_records(s, d)),
         "field_mapping": lambda s, d: profiling.field_mapping(
             profiling.column_profile(standard_records(s, d))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from kinfold.functions import fixed_values as fixed
+from kinfold.functions.tags import DEFAULT_TAGS, SourceTags
 from kinfold.operators import clustering, linking, merging
 from kinfold.operators.standardize import standardize_all, upsert_latest
 from kinfold.operators.workspace import Workspace
@@ -26,6 +27,7 @@ class Unified:
     n_records: int
     resolved: DataFrame
     merged: DataFrame
+    tags: SourceTags = DEFAULT_TAGS
 
 
 def unify_records(
@@ -33,6 +35,7 @@ def unify_records(
     workspace: Workspace,
     priority: Mapping[str, int] | None = None,
     heavy_rows: int | None = None,
+    tags: SourceTags = DEFAULT_TAGS,
 ) -> Unified:
     """Link, cluster and merge standard records.
 
@@ -46,8 +49,8 @@ def unify_records(
     slim = records.select(*LINKING_COLUMNS)
     edges = linking.link_edges(slim, n_records, heavy_rows)
     resolved = workspace.stage(clustering.cluster(slim, edges, workspace, heavy_rows), "resolved")
-    merged = workspace.stage(merging.merge(resolved, n_records, priority, heavy_rows), "merged")
-    return Unified(workspace, records, n_records, resolved, merged)
+    merged = workspace.stage(merging.merge(resolved, n_records, priority, heavy_rows, tags), "merged")
+    return Unified(workspace, records, n_records, resolved, merged, tags)
 
 
 def unify_sources(
@@ -56,5 +59,7 @@ def unify_sources(
     mappings: Mapping[str, Mapping[str, str]] | None = None,
     priority: Mapping[str, int] | None = None,
     heavy_rows: int | None = None,
+    tags: SourceTags = DEFAULT_TAGS,
 ) -> Unified:
-    return unify_records(standardize_all(raws, mappings), workspace, priority, heavy_rows)
+    """``tags``: the sources there are, if others than the default three; ``mappings`` has one for each."""
+    return unify_records(standardize_all(raws, mappings, tags), workspace, priority, heavy_rows, tags)

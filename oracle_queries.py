@@ -9,6 +9,7 @@ from __future__ import annotations
 from kinfold.functions import fixed_values as fixed
 from kinfold.operators.views import CONTACT_PATTERNS
 from kinfold.plans import driver_tables as tables
+from kinfold.plans import queries
 
 FIELDS = fixed.UNIFIED_FIELDS
 WS = r"[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -313,6 +314,7 @@ _jaccard = f"{canonical('won_company')}"
 def oracle_sql() -> dict[str, str]:
     q = {}
     q["ingest_csv"] = renumbered("A")
+    q["ingest_csv_multi_line"] = q["ingest_csv"]
     q["ingest_json"] = renumbered("B")
     q["html_table_rows"] = PAGES_ + "select page_id, row_no, array_to_string(cells, '|') as cells from kept"
     q["ingest_html"] = renumbered("C")
@@ -352,6 +354,12 @@ def oracle_sql() -> dict[str, str]:
       union all select doc_id, 'phone', unnest(regexp_extract_all(text, '{patterns['phone']}')) from documents)
     select kind, case when kind = 'email' then {email('found')} else {phone('found')} end as value,
       count(*) as n_mentions, count(distinct doc_id) as n_documents from found group by 1, 2"""
+    country, area, number = r"(?:\+1|\b1)[-. ]?", r"[0-9]{3}[-. ]?", r"[0-9]{3}[-. ]?[0-9]{4}\b"
+    layouts = rf"(?:(?:{country})?\([0-9]{{3}}\)[-. ]?|(?:{country}|\b){area}){number}"
+    q["doc_phones"] = f"""with found as (
+      select doc_id, unnest(regexp_extract_all(text, '{layouts}')) as found from documents)
+    select {phone('found')} as value, count(*) as n_mentions, count(distinct doc_id) as n_documents,
+      count(distinct regexp_replace(found, '[0-9]', '9', 'g')) as n_layouts from found group by 1"""
     q["spec_count_state"] = MERGED_ + "select count(*) as count from entities where state = 'CA'"
     q["spec_select_like"] = MERGED_ + (
         f"{_entities_of} where {FOLD.format('email')} like '%marsh%' order by company, id limit 50"
@@ -370,6 +378,21 @@ def oracle_sql() -> dict[str, str]:
         + " like '%vega%' and state <> 'TX' "
         "union all select 'not a number', 0 union all select 'all', count(*) from entities"
     )
+    def asked(filters):
+        parts = []
+        for column, op, value in filters:
+            if op == "LIKE":
+                parts.append(f"{FOLD.format(column)} like '%' || {value} || '%'")
+            else:
+                parts.append(f"{column} {op} " + (f"cast({value} as double)" if column == "confidence" else f"({value})"))
+        return " and ".join(parts)
+
+    kinds = " union all ".join(
+        f"select i, count(entity_id) as n from (select unnest(range({queries.N_SPECS})) as i) s left join entities"
+        f" on {asked(filters)} where i % 5 = {k} group by i"
+        for k, filters in enumerate(queries.SPEC_KINDS)
+    )
+    q["spec_table_counts"] = MERGED_ + f"select 'q' || cast(i as varchar) as question, n as count from ({kinds})"
     q["unified_view"] = MERGED_ + (
         f"select entity_id, {FIELD_LIST}, confidence, reasoning, {_provenance_text} as provenance, member_count from merged"
     )
@@ -383,6 +406,36 @@ def oracle_sql() -> dict[str, str]:
         + """, frags as (select * replace (case when source = 'B' and ordinal % 3 <> 0
           then '2' || substr(phone, 2) else phone end as phone) from frags0)""",
     ) + "select * from entities"
+    columns = "ordinal, e, company, contact, phone, email, state"
+    five = "frags as (" + " union all ".join(
+        f"select '{tag}' as source, {chosen} from ({fragment(s)}) x where {where}"
+        for tag, s, where, chosen in (
+            ("erp", "A", "true", columns), ("crm-eu", "B", "true", columns),
+            ("web", "C", "ordinal % 2 = 0", columns), ("shop", "C", "ordinal % 2 = 1", columns),
+            ("lead", "A", "ordinal % 3 = 0", columns.replace("phone", "'' as phone").replace("state", "'' as state")),
+        )
+    ) + ")"
+    order, trust = ("lead", "web", "erp", "shop", "crm-eu"), ("crm-eu", "shop", "erp", "lead", "web")
+    five_sql = MERGED_.replace(FRAGS, five)
+    five_sql = five_sql.replace(_place, " ".join(f"when source = '{s}' then {i}" for i, s in enumerate(order, 1)))
+    five_sql = five_sql.replace(_priority, " ".join(f"when source = '{s}' then {i}" for i, s in enumerate(trust, 1)))
+    q["five_source_entities"] = five_sql + (
+        f"select entity_id, {FIELD_LIST}, confidence, reasoning, {_provenance_text} as provenance, member_count from merged"
+    )
+    loads = FRAGS.replace("frags as", "frags0 as", 1) + """, versions as (
+      select *, 0 as load from frags0 where source <> 'C' or ordinal % 10 <> 0
+      union all select * replace ('2' || substr(phone, 2) as phone), 1 from frags0 where source = 'B' and ordinal % 3 <> 0
+      union all select * replace ('Texas' as state), null from frags0 where source = 'C' and ordinal % 5 = 0
+      union all select * replace ('Moved ' || company as company), 2 from frags0 where source = 'A' and ordinal % 11 = 0
+      union all select * replace ('Moved ' || company as company, 'zz ' || contact as contact), 2
+        from frags0 where source = 'A' and ordinal % 22 = 0),
+    ranked_loads as (select *, row_number() over (partition by source, ordinal order by load desc nulls last, contact desc) as rn
+      from versions),
+    frags as (select * exclude (rn) from ranked_loads where rn = 1)"""
+    numbered = STD.replace(FRAGS, loads)
+    numbered = numbered.replace("select source, ordinal, source ||", "select load, source, ordinal, source ||")
+    q["upserted_records"] = f"with {numbered} select id, source, raw_json, {FIELD_LIST}, load from std"
+    q["incremental_entities"] = MERGED_.replace(FRAGS, loads) + "select * from entities"
     skewed = STD.replace(
         FRAGS,
         f"frags0 as ({fragment('C')}), frags as (select * replace ('Firm Nought Media' as company, '' as contact, '' as phone,"
@@ -396,15 +449,48 @@ def oracle_sql() -> dict[str, str]:
         f"select entity_id, {FIELD_LIST}, confidence, reasoning, member_count from merged"
     )
     q["entity_lineage"] = RESOLVED_ + "select entity_id, id as record_id, source, raw from named"
+    q["bucketed_lineage"] = q["entity_lineage"]
     q["field_winner"] = MERGED_ + (
         "select p.entity_id, company, p.source, p.value from provenance p join entities using (entity_id) where field = 'phone'"
     )
+    q["bucketed_field_winner"] = q["field_winner"]
+    q["published_counts"] = MERGED_ + " union all ".join(
+        f"select '{name}' as table_name, count(*) as n_announced, count(*) as n_rows from {t}"
+        for name, t in (
+            ("source_records", "std"), ("entities", "entities"), ("field_provenance", "provenance"), ("entity_members", "members")
+        )
+    )
     q["candidate_pairs"] = STD_ + """, firsts as (select block_key, min(node) as node from std group by 1)
     select r.block_key, a.id as anchor_id, r.id as record_id,
       cast(a.email = r.email and r.email <> '' as int) as same_email,
       cast(a.phone = r.phone and regexp_matches(r.phone, '%s') as int) as same_phone,
       cast(lower(a.contactName) = lower(r.contactName) and r.contactName <> '' as int) as same_contact
     from std r join firsts f on f.block_key = r.block_key join std a on a.node = f.node where r.node <> a.node""" % fixed.PHONE_SHAPE
+    words = "list_distinct(list_filter(string_split({}.canon, ' '), lambda x: x <> ''))"
+    both = f"len(list_intersect({words.format('a')}, {words.format('b')}))::double"
+    either = f"len(list_distinct({words.format('a')} || {words.format('b')}))"
+    q["neighbour_pairs"] = STD_ + f""", entries as (
+      select 0 as order_no, canon || '|' || list_extract(string_split(lower(contactName), ' '), -1) || '|' || lower(contactName) as key,
+        * from std where canon <> ''
+      union all select 1, phone || '|' || canon, * from std where regexp_matches(phone, '{fixed.PHONE_SHAPE}')
+      union all select 2, list_extract(string_split(email, '@'), -1) || '|' || list_extract(string_split(email, '@'), 1), *
+        from std where contains(email, '@')),
+    placed as (select *, row_number() over (partition by order_no order by key, node) as p from entries),
+    close as (select x.order_no, least(x.node, y.node) as first, greatest(x.node, y.node) as second
+      from placed x join placed y on x.order_no = y.order_no and y.p > x.p and y.p < x.p + 5),
+    once as (select first, second, string_agg(distinct list_extract(['company', 'phone', 'email'], order_no + 1), '+'
+        order by case list_extract(['company', 'phone', 'email'], order_no + 1) when 'company' then 0 when 'phone' then 1 else 2 end)
+        as orders from (select distinct * from close) group by first, second),
+    scored as (select a.id as first_id, b.id as second_id, orders,
+      cast(a.email = b.email and a.email <> '' as int) as same_email,
+      cast(a.phone = b.phone and regexp_matches(a.phone, '{fixed.PHONE_SHAPE}') as int) as same_phone,
+      cast(lower(a.contactName) = lower(b.contactName) and a.contactName <> '' as int) as same_contact,
+      cast(a.state = b.state and a.state <> '' as int) as same_state,
+      case when {either} = 0 then 0::double else {both} / {either}::double end as company_jaccard,
+      levenshtein(lower(a.contactName), lower(b.contactName)) as name_distance
+    from once join std a on a.node = first join std b on b.node = second)
+    select *, ((same_email * 4 + same_phone * 3 + same_contact * 2 + same_state)::double + 2.0::double * company_jaccard)
+      / 12.0::double as score from scored"""
     q["provenance_wide"] = MERGED_ + (
         "select entity_id, " + ", ".join(f"max({f}_source) as {f}" for f in FIELDS) + " from merged group by 1"
     )

@@ -1,0 +1,145 @@
+"""Checked publishing, bucketed tables, tags as data, and phones of all layouts."""
+
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from kinfold.functions import standard
+from kinfold.functions.tags import MAX_TAGS, SourceTags
+from kinfold.operators import merging, views
+from kinfold.operators.standardize import node_number, node_record_id, standardize
+from kinfold.operators.workspace import Workspace
+from kinfold.plans.unify import unify_records, unify_sources
+from kinfold.sources import lookup_tables, sinks
+from kinfold.sources.versions import StaleVersion, VersionLog
+from tests.test_unify import as_records, made_up
+
+
+@pytest.fixture(scope="module")
+def unified(spark, tmp_path_factory):
+    _, df = as_records(spark, made_up(4, 60))
+    df = df.withColumn("block_key", standard.block_key(F.col("company"), F.col("email")))
+    return unify_records(df, Workspace(spark, str(tmp_path_factory.mktemp("run"))))
+
+
+FAULTS = {
+    "entity in one block": lambda u: {"resolved": u.resolved.withColumn("root", F.lit(u.resolved.first().node))},
+    "entity confidence": lambda u: {"merged": u.merged.withColumn("confidence", F.lit(1.7))},
+    "entity value": lambda u: {"merged": u.merged.withColumn("phone_node", F.col("root")).withColumn("phone", F.lit("+19999999999"))},
+    "entities nulls": lambda u: {"merged": u.merged.withColumn("reasoning", F.lit(None).cast("string"))},
+    "record in one entity": lambda u: {"resolved": u.resolved.where("id <> '%s'" % u.resolved.first().id)},
+}
+
+
+@pytest.mark.parametrize("fault", FAULTS)
+def test_a_planted_fault_stops_the_announcement(spark, unified, tmp_path, fault):
+    root = str(tmp_path / "p")
+    good = sinks.publish(unified, root)
+    bad = replace(unified, **FAULTS[fault](unified))
+    with pytest.raises(sinks.PublishRefused) as refused:
+        sinks.publish(bad, root)
+    if fault != "entity value":
+        assert fault in str(refused.value)
+    assert sinks.published_path(spark, root).endswith(good)
+    assert sinks.announced_rows(spark, root)["source_records"] == 60
+
+
+def test_publishers_cannot_both_win_and_old_versions_go(spark, unified, tmp_path, monkeypatch):
+    root = str(tmp_path / "p")
+    versions = [sinks.publish(unified, root, keep=2) for _ in range(3)]
+    left = {p.name for p in (tmp_path / "p").iterdir() if p.name.startswith("version=")}
+    assert left == {f"version={v}" for v in versions[1:]} and VersionLog(spark, root).numbers() == [1, 2]
+    monkeypatch.setattr(VersionLog, "latest", lambda self: 1)  # as seen before the last one was announced
+    with pytest.raises(StaleVersion):
+        sinks.publish(unified, root)
+    monkeypatch.undo()
+    assert sinks.published_path(spark, root).endswith(versions[2])
+
+
+def test_lookup_tables_join_without_a_shuffle(spark, unified, tmp_path):
+    tables = lookup_tables.write_lookup_tables(unified, str(tmp_path / "t"), "lookup_test", n_buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lineage, winner = lookup_tables.entity_lineage(tables), lookup_tables.field_winner(tables, "email")
+        for df in (lineage, winner):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        members = merging.entity_members(unified.resolved)
+        assert sorted((r.entity_id, r.record_id) for r in lineage.collect()) == sorted(map(tuple, members.collect()))
+        assert winner.count() == unified.merged.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    pushed = tables["entities"].where("entity_id = 'A1'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(entity_id,A1)" in pushed
+    footers = [p.read_bytes() for p in (tmp_path / "t" / "entities").glob("*.parquet")]
+    assert footers and all(len(f) > 1 << 20 for f in footers), "two Bloom filters, of a megabyte each unless set otherwise"
+    for table in lookup_tables.LAYOUT:
+        spark.sql(f"drop table lookup_test_{table}")
+
+
+def test_tags_are_checked():
+    for tags, priority in [
+        ((), {}), (("a", "a"), {"a": 1}), (("a",), {}), (("a",), {"a": 1, "b": 2}), (("crm", "crm1"), {"crm": 1, "crm1": 2}),
+        (("",), {"": 1}), (tuple(f"t{i}x" for i in range(MAX_TAGS + 1)), {f"t{i}x": i for i in range(MAX_TAGS + 1)}),
+    ]:
+        with pytest.raises(ValueError):
+            SourceTags(tags, priority)
+    assert "crm1" in SourceTags(("crm1", "erp"), {"crm1": 1, "erp": 2})
+
+
+def test_many_tags_as_rows(spark):
+    rows = [(f"src-{i}-", i, MAX_TAGS - i) for i in range(MAX_TAGS)]
+    tags = SourceTags.from_table(spark.createDataFrame(rows, "tag string, load_order int, priority int"))
+    last = (1 << 52) - 1
+    df = spark.createDataFrame([("src-0-", 0), ("src-2046-", last)], "s string, o long")
+    node = node_number(F.col("s"), F.col("o"), tags)
+    assert [r.id for r in df.select(node_record_id(node, tags).alias("id")).collect()] == ["src-0-0", f"src-2046-{last}"]
+
+
+def test_sources_of_other_tags(spark, workspace):
+    """Load order, authority and provenance follow the table; a tag that is not in it is refused."""
+    tags = SourceTags(("new", "old"), {"old": 1, "new": 2})
+    mapping = {"n": "company", "p": "phone", "c": "contactName"}
+    schema = "ordinal long, n string, p string, c string"
+    new = spark.createDataFrame([(1, "Acme Tools", "2125550100", "Ann Lee"), (2, "Bolt Co", "", "")], schema)
+    old = spark.createDataFrame([(7, "Acme Tools", "2125550199", "Ann Lee")], schema)
+    unified = unify_sources({"old": old, "new": new}, workspace, {"old": mapping, "new": mapping}, tags=tags)
+    view = {r.entity_id: r for r in views.unified_view(unified.merged, tags).collect()}
+    assert set(view) == {"new1", "new2"} and view["new1"].phone == "+12125550199"
+    assert {p.field: p.source for p in view["new1"].provenance}["phone"] == "old"
+    assert [r.sources for r in views.source_overlap(unified.resolved, tags).orderBy("sources").collect()] == ["new", "new+old"]
+    sinks.write_entity_tables(unified, f"{workspace.path}/tables")
+    with pytest.raises(ValueError, match="unknown source"):
+        standardize(new, "other", mapping, tags=tags)
+
+
+LAYOUTS = {
+    "(212) 555-0100": "+12125550100", "212.555.0100": "+12125550100", "212 555 0100": "+12125550100", "2125550100": "+12125550100",
+    "+1 212-555-0100": "+12125550100", "1-212-555-0100": "+12125550100", "+12125550100": "+12125550100", "12125550100": "+12125550100",
+    "+1 (212) 555-0100": "+12125550100", "1 (212)555.0100": "+12125550100", "212-5550100": "+12125550100",
+}
+NOT_PHONES = ["555-0100", "212555010", "212555010012", "a2125550100", "2125550100b", "_212 555 0100", "(21) 555-0100", "212  555 0100", "212/555/0100"]
+
+
+def test_phones_of_all_layouts(spark):
+    texts = list(LAYOUTS) + NOT_PHONES
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {t: standard_form(spark, t) for t in texts}
+    assert got == {**{t: [v] for t, v in LAYOUTS.items()}, **{t: [] for t in NOT_PHONES}}
+    one = views.phones_in_text(df).collect()
+    assert [(r.value, r.n_mentions, r.n_documents, r.n_layouts) for r in one] == [("+12125550100", 11, 11, 11)]
+
+
+def standard_form(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return [r.value for r in views.phones_in_text(df).collect()]
+
+
+def test_phones_in_odd_texts(spark):
+    """Neighbouring numbers, nulls, empty texts, repeated rows and long runs of digits."""
+    text = "call 212 555 0100 212 555 0101,(212) 555-0102/2125550103. é212-555-0104"
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, "7" * 500_000), (None, "212 555 0100")]
+    got = {r.value: (r.n_mentions, r.n_documents) for r in views.phones_in_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {"+12125550100": (3, 2), **{f"+1212555010{i}": (2, 1) for i in (1, 2, 3, 4)}}
+    assert views.phones_in_text(spark.createDataFrame([], "doc_id long, text string")).collect() == []
