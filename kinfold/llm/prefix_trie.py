@@ -16,8 +16,8 @@ that pass through its top: a node belongs to the sequence of its smallest member
 of its path from some depth on, so that each node is counted once without walking the tree.
 
 No task holds a conversation or a group: turns are ordered by ranges, prefixes meet in aggregates that
-combine before they shuffle, and ids of one end list stream through one task in order, as their
-digest asks.
+combine before they shuffle. Ids of an end list are sorted and joined in pieces by many tasks; the
+pieces, some per list, stream through one task in order, as their digest asks.
 
 Defined results: null roles and texts are empty; turns of equal number are ordered by role, then text,
 and repeated rows are all kept; null turns come first; rows without ``conv_id`` belong to no
@@ -49,6 +49,12 @@ SEQUENCES = "c long, depth long, a long, b long, total long, weight long, ends_s
 SEQUENCES_ARROW = pa.schema(
     [(n, pa.int64()) for n in ("c", "depth", "a", "b", "total", "weight")] + [("ends_sha256", pa.string())]
 )
+PIECES = "depth long, a long, b long, total long, first long, n long, ids string"
+PIECES_ARROW = pa.schema(
+    [(n, pa.int64()) for n in (*KEY, "total", "first", "n")] + [("ids", pa.string())]
+)
+#: Ids of an end list that are joined into one text.
+PIECE = 8192
 NO_ENDS = hashlib.sha256().hexdigest()
 
 
@@ -164,28 +170,45 @@ def chain_blocks(prefixes: DataFrame, blocks: DataFrame) -> DataFrame:
     return prefixes.where("block = 0").unionByName(chained.select(*columns))
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by sequence and id -> runs of ids of one sequence, each joined into one text."""
+    open_key, ids = None, []
+    for batch in batches:
+        done = []
+        for *key, c in zip(*(batch.column(n).to_pylist() for n in (*KEY, "total", "conv_id"))):
+            if ids and (key != open_key or len(ids) == PIECE):
+                done.append((*open_key, ids[0], len(ids), ",".join(map(str, ids))))
+                ids = []
+            open_key = key
+            ids.append(c)
+        if done:
+            yield as_batch(done, PIECES_ARROW)
+    if ids:
+        yield as_batch([(*open_key, ids[0], len(ids), ",".join(map(str, ids)))], PIECES_ARROW)
+
+
 def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sequence and id -> one row per sequence; its end list is hashed as it passes."""
+    """Pieces sorted by sequence and id -> one row per sequence; its end list is hashed as it passes."""
     open_key, row, digest = None, None, None
     for batch in batches:
         done = []
-        for *key, total, c in zip(*(batch.column(n).to_pylist() for n in (*KEY, "total", "conv_id"))):
+        for *key, total, c, n, ids in zip(*(column.to_pylist() for column in batch.columns)):
             if key == open_key:
-                row[5] += 1
-                digest.update(b",%d" % c)
+                row[5] += n
+                digest.update(b"," + ids.encode())
                 continue
             if row:
                 done.append((*row, digest.hexdigest()))
-            open_key, row, digest = key, [c, *key, total, 1], hashlib.sha256(b"%d" % c)
+            open_key, row, digest = key, [c, *key, total, n], hashlib.sha256(ids.encode())
         if done:
-            yield _sequence_batch(done)
+            yield as_batch(done, SEQUENCES_ARROW)
     if row:
-        yield _sequence_batch([(*row, digest.hexdigest())])
+        yield as_batch([(*row, digest.hexdigest())], SEQUENCES_ARROW)
 
 
-def _sequence_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), SEQUENCES_ARROW)]
-    return pa.RecordBatch.from_arrays(columns, schema=SEQUENCES_ARROW)
+def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def by_block(sequences: DataFrame) -> DataFrame:
@@ -217,8 +240,10 @@ def build_trie(conversations: DataFrame) -> Trie:
         .select("conv_id", *[F.coalesce(c, nothing).alias(c) for c in (*KEY, "total")]),
         "ends",
     )
-    in_order = ends.repartition(*KEY).sortWithinPartitions(*KEY, "conv_id")
-    sequences = staged(in_order.mapInArrow(collapse, SEQUENCES), "sequences")
+    # ids of a large end list are sorted and joined by many tasks, and one hashes what they joined
+    in_order = ends.repartitionByRange(*KEY, "conv_id").sortWithinPartitions(*KEY, "conv_id")
+    joined = in_order.mapInArrow(pieces, PIECES).repartition(*KEY).sortWithinPartitions(*KEY, "first")
+    sequences = staged(joined.mapInArrow(collapse, SEQUENCES), "sequences")
     info = by_block(sequences.select("c", "depth", "total", "weight")).withColumnRenamed("depth", "length")
     paths = chain_blocks(prefixes, blocks).join(info, ["c", "block"]).select(
         "c",
