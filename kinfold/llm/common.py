@@ -50,9 +50,9 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def row_digest(df: DataFrame) -> Column:
+def row_digest(df: DataFrame, *seed: int) -> Column:
     """A number that depends on every column of a row, nulls and their places included."""
-    parts = []
+    parts = [F.lit(s) for s in seed]
     for i, (name, kind) in enumerate(df.dtypes):
         c = F.col(f"`{name}`")
         parts += [F.when(c.isNull(), F.lit(i)), F.to_json(F.struct(c)) if "map<" in kind else c]

@@ -3,10 +3,12 @@
 Test items are cut into units of at most ``UNIT`` words. Every training text is cut into passages of
 ``2 * UNIT`` words, one starting every ``UNIT`` words, so each run of ``UNIT`` words lies whole in one
 of them. Each passage is a query: a unit's score is the sum of its BM25 impacts over the passage's
-distinct words, divided by ``threshold`` times the unit's own full score, so 1 is the bar for all. The
-largest impacts of each word in each block of units bound what a block can reach; blocks that can't
-reach the bar are skipped at once, the others are searched document at a time with pivots. All units
-above the bar are then verified: the words of the item's question, and of its answer (its last
+distinct words, divided by ``threshold`` times the unit's own full score, so 1 is the bar for all. Units
+of like length are indexed together, so that the largest impacts of a word say much. A passage's words
+whose largest impacts together miss the bar can't reach it alone: only blocks that hold one of its other,
+rarer words are opened, and the lists of the common words are never run through, but looked up at those
+blocks. The largest impacts in a block bound what it can reach; those that reach the bar are searched
+document at a time with pivots. All units above the bar are then verified: the words of the item's question, and of its answer (its last
 sentence), must be found near the passage as five-word shingles, four fifths of them each. One
 changed word takes up to five shingles, so an item counts as found too if the words where question and
 answer meet align with the text at four fifths or more, half of either part at least, and parts longer
@@ -138,24 +140,38 @@ def near_copy(question: list[str], answer: list[str], there: list[str], q: float
     return None
 
 
+@dataclass
+class Part:
+    """The inverted index of units of like length, impacts already divided by each unit's bar.
+
+    An entry is a word in a block of units, numbered ``word * n_blocks + block``; entries are sorted, and
+    so are the postings, each entry's from ``first`` on."""
+
+    unit_item: list[int]  # unit -> place in items
+    n_blocks: int
+    entries: np.ndarray
+    first: np.ndarray  # one more than entries
+    block_max: np.ndarray
+    word_max: np.ndarray  # word -> largest impact
+    word_first: np.ndarray  # word -> its first entry, one more than words
+    units: np.ndarray
+    impacts: np.ndarray
+
+
 @dataclass
 class Index:
-    """One piece of the inverted index, impacts already divided by each unit's bar."""
+    """One piece of the benchmark."""
 
     vocabulary: dict[str, int]
-    unit_item: list[int]  # unit -> place in items
     items: list[tuple]  # (item_id, words, question, answer)
-    postings: list[list[tuple[int, float]]]  # word -> (unit, impact), by unit
-    block_starts: np.ndarray  # word -> where its blocks begin
-    blocks: np.ndarray
-    block_max: np.ndarray
-    n_blocks: int
+    parts: list[Part]
 
 
 def build_index(items: list[tuple], frequency: dict[str, int], n_units: int, mean_length: float, threshold: float) -> Index:
     """``frequency``, ``n_units`` and ``mean_length`` are those of the whole benchmark."""
     vocabulary: dict[str, int] = {}
-    unit_item, kept, postings = [], [], []
+    kept: list[tuple] = []
+    by_length: dict[int, list[tuple[int, dict[int, float]]]] = defaultdict(list)
     for item_id, text in items:
         words = words_of(text)
         kept.append((item_id, words, *question_and_answer(text)))
@@ -167,32 +183,28 @@ def build_index(items: list[tuple], frequency: dict[str, int], n_units: int, mea
             impacts = {}
             for w, n in counts.items():
                 df = frequency[w]
-                impacts[w] = math.log(1 + (n_units - df + 0.5) / (df + 0.5)) * n * (K1 + 1) / (n + norm)
+                impact = math.log(1 + (n_units - df + 0.5) / (df + 0.5)) * n * (K1 + 1) / (n + norm)
+                impacts[vocabulary.setdefault(w, len(vocabulary))] = impact
             bar = threshold * sum(impacts.values())
-            for w, impact in impacts.items():
-                t = vocabulary.setdefault(w, len(vocabulary))
-                if t == len(postings):
-                    postings.append([])
-                postings[t].append((len(unit_item), impact / bar))
-            unit_item.append(len(kept) - 1)
-    starts, blocks, maxima = [0], [], []
-    for own in postings:
-        most: dict[int, float] = {}
-        for unit, impact in own:
-            most[unit // BLOCK] = max(most.get(unit // BLOCK, 0.0), impact)
-        blocks += most.keys()
-        maxima += most.values()
-        starts.append(len(blocks))
-    return Index(
-        vocabulary,
-        unit_item,
-        kept,
-        postings,
-        np.array(starts, np.int64),
-        np.array(blocks, np.int64),
-        np.array(maxima),
-        (len(unit_item) + BLOCK - 1) // BLOCK,
-    )
+            by_length[len(counts).bit_length()].append((len(kept) - 1, {t: i / bar for t, i in impacts.items()}))
+    return Index(vocabulary, kept, [build_part(units, len(vocabulary)) for _, units in sorted(by_length.items())])
+
+
+def build_part(units: list[tuple[int, dict[int, float]]], n_words: int) -> Part:
+    """From ``(place of the item, word -> impact)`` of each unit."""
+    unit = np.repeat(np.arange(len(units)), [len(impacts) for _, impacts in units])
+    word = np.array([t for _, impacts in units for t in impacts], np.int64)
+    impact = np.array([i for _, impacts in units for i in impacts.values()])
+    order = np.lexsort((unit, word))
+    unit, word, impact = unit[order], word[order], impact[order]
+    n_blocks = (len(units) + BLOCK - 1) // BLOCK
+    entries, first = np.unique(word * n_blocks + unit // BLOCK, return_index=True)
+    block_max = np.maximum.reduceat(impact, first)
+    word_first = np.searchsorted(entries, np.arange(n_words + 1) * n_blocks)
+    word_max = np.zeros(n_words)
+    np.maximum.at(word_max, entries // n_blocks, block_max)
+    first = np.append(first, len(unit))
+    return Part([place for place, _ in units], n_blocks, entries, first, block_max, word_max, word_first, unit, impact)
 
 
 def units_of(words: list[str]) -> list[list[str]]:
@@ -201,34 +213,68 @@ def units_of(words: list[str]) -> list[list[str]]:
     return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
 
 
-def open_blocks(index: Index, windows: np.ndarray, terms: np.ndarray) -> list[tuple[int, int]]:
-    """``(window, block)`` pairs whose block maxima reach the bar, given distinct (window, term) pairs
+def asked_entries(part: Part, windows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window and entry of all blocks of the words that a window can't do without, and for each pair of
+    window and word whether it is one of those: the words, from the smallest largest impact on, whose sum
+    reaches the bar."""
+    largest = part.word_max[words]
+    order = np.lexsort((largest, windows))
+    total = np.cumsum(largest[order])
+    new = np.append(True, windows[order][1:] != windows[order][:-1])
+    before = np.maximum.accumulate(np.where(new, total - largest[order], 0.0))
+    needed = np.zeros(len(words), bool)
+    needed[order] = (total - before >= 1 - 1e-9) & (largest[order] > 0)
+    own = words[needed]
+    n = part.word_first[own + 1] - part.word_first[own]
+    at = np.repeat(part.word_first[own] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+    return np.repeat(windows[needed], n), at, needed
+
+
+def open_blocks(part: Part, windows: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+    """``(window, block)`` pairs whose block maxima reach the bar, given distinct (window, word) pairs
     sorted by window."""
     if not len(windows):
         return []
-    n = index.block_starts[terms + 1] - index.block_starts[terms]
-    at = np.repeat(index.block_starts[terms] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-    cells = np.repeat(windows, n) * index.n_blocks + index.blocks[at]
-    found, place = np.unique(cells, return_inverse=True)
-    bound = np.bincount(place, index.block_max[at])
-    hits = found[bound >= 1 - 1e-9]
-    return [divmod(int(c), index.n_blocks) for c in hits]
-
-
-def wand(index: Index, terms: list[int], blocks: set[int]) -> list[tuple[int, float]]:
-    """All ``(unit, score)`` at or above the bar in the open blocks."""
+    window, at, needed = asked_entries(part, windows, words)
+    if not len(at):
+        return []
+    cells, place = np.unique(window * part.n_blocks + part.entries[at] % part.n_blocks, return_inverse=True)
+    bound = np.bincount(place, part.block_max[at])
+    # what the common words may add at most, then what they add in these blocks
+    common_windows, common = windows[~needed], words[~needed]
+    owners = cells // part.n_blocks
+    low, high = np.searchsorted(common_windows, owners), np.searchsorted(common_windows, owners, side="right")
+    most = np.append(0.0, np.cumsum(part.word_max[common]))
+    near = bound + most[high] - most[low] >= 1 - 1e-9
+    cells, bound, low, high = cells[near], bound[near], low[near], high[near]
+    n = high - low
+    pair = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+    cell = np.repeat(np.arange(len(cells)), n)
+    asked = common[pair] * part.n_blocks + cells[cell] % part.n_blocks
+    found = np.minimum(np.searchsorted(part.entries, asked), len(part.entries) - 1)
+    added = np.where(part.entries[found] == asked, part.block_max[found], 0.0)
+    bound = bound + np.bincount(cell, added, len(cells))
+    return [divmod(int(c), part.n_blocks) for c in cells[bound >= 1 - 1e-9]]
+
+
+def wand(part: Part, words: np.ndarray, blocks: list[int]) -> list[tuple[int, float]]:
+    """All ``(unit, score)`` at or above the bar in the open blocks; only their postings are read."""
+    asked = words[:, None] * part.n_blocks + np.array(sorted(blocks), np.int64)
+    place = np.minimum(np.searchsorted(part.entries, asked), len(part.entries) - 1)
+    held = part.entries[place] == asked
     lists = []
-    for t in terms:
-        own = [p for p in index.postings[t] if p[0] // BLOCK in blocks]
-        if own:
-            a, b = index.block_starts[t], index.block_starts[t + 1]
-            bounds = dict(zip(index.blocks[a:b].tolist(), index.block_max[a:b].tolist()))
-            lists.append([0, own, max(i for _, i in own), bounds])
+    for k in np.flatnonzero(held.any(axis=1)):
+        entries = place[k][held[k]]
+        ranges = [slice(part.first[e], part.first[e + 1]) for e in entries]
+        units = [u for own in ranges for u in part.units[own].tolist()]
+        impacts = [i for own in ranges for i in part.impacts[own].tolist()]
+        bounds = dict(zip((part.entries[entries] % part.n_blocks).tolist(), part.block_max[entries].tolist()))
+        lists.append([0, list(zip(units, impacts)), max(impacts), bounds])
     found = []
     while lists:
         lists.sort(key=lambda x: x[1][x[0]][0])
         bound, pivot = 0.0, None
-        for k, (at, own, most, _) in enumerate(lists):
+        for k, (_, _, most, _) in enumerate(lists):
             bound += most
             if bound >= 1 - 1e-9:
                 pivot = k
@@ -272,16 +318,17 @@ def search(index: Index, texts: list[list[str]], threshold: float) -> list[list[
     size = len(index.vocabulary)
     pairs = np.unique(np.concatenate([last * size + term, (last - 1) * size + term]))
     window, word = pairs // size, pairs % size
-    by_window: dict[int, set[int]] = defaultdict(set)
-    for w, block in open_blocks(index, window, word):
-        by_window[w].add(block)
+    by_window: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for k, part in enumerate(index.parts):
+        for w, block in open_blocks(part, window, word):
+            by_window[w, k].append(block)
     found: list[dict[int, tuple]] = [{} for _ in texts]
-    for w, blocks in by_window.items():
+    for (w, k), blocks in sorted(by_window.items()):
         a, b = np.searchsorted(window, [w, w + 1])
         doc = int(np.searchsorted(starts, w, side="right")) - 1
         first = max(0, (w - starts[doc] - 1) * UNIT)
-        for unit, score in wand(index, word[a:b].tolist(), blocks):
-            place = index.unit_item[unit]
+        for unit, score in wand(index.parts[k], word[a:b], blocks):
+            place = index.parts[k].unit_item[unit]
             _, own, question, answer = index.items[place]
             low, high = max(0, first - len(own)), min(len(texts[doc]), first + 2 * UNIT + len(own))
             there = texts[doc][low:high]

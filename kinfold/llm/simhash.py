@@ -165,21 +165,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = 64) -> DataF
 def keep_first(docs: DataFrame, shingle: int = 3, crowd: int = 64) -> DataFrame:
     """One row of each group: the smallest id, null ids last; all columns kept. Of rows that are alike
     in every column one stays."""
-    digest, first, place = unused(docs, "row_digest"), unused(docs, "first_digest"), unused(docs, "place")
-    own = row_digest(docs)
-    fps = staged(fingerprints(docs, shingle, {"digest": own}), "fingerprints")
+    place = unused(docs, "place")
+    # a row is known by two digests of all its columns
+    digests = [unused(docs, "row_digest"), unused(docs, "other_digest")]
+    own = [row_digest(docs), row_digest(docs, 1)]
+    fps = staged(fingerprints(docs, shingle, {"digest": own[0], "other": own[1]}), "fingerprints")
     classes = staged(by_component(fps.select("doc_id", "fp"), crowd), "classes")
-    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "digest")
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "digest", "other")
     # combined per fingerprint before the classes join, so a hot one is moved as one row
     leads = fps.groupBy("fp").agg(F.min(order).alias("lead"))
     kept = (
         leads.join(classes.select("fp", "component"), "fp")
         .groupBy("component")
         .agg(F.min("lead").alias("lead"))
-        .select(F.col("lead.digest").alias(first))
+        .select(F.col("lead.digest").alias(digests[0]), F.col("lead.other").alias(digests[1]))
         .distinct()
     )
     kept = staged(kept, "kept-rows")
-    joined = docs.withColumn(digest, own).join(kept, F.col(digest) == F.col(first))
-    once = F.row_number().over(Window.partitionBy(digest).orderBy(digest))
+    joined = docs.withColumns(dict(zip(digests, own))).join(kept, digests)
+    once = F.row_number().over(Window.partitionBy(*digests).orderBy(digests[0]))
     return joined.withColumn(place, once).where(F.col(place) == 1).select(*[f"`{c}`" for c in docs.columns])

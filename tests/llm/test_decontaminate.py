@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from kinfold.llm import decontaminate as d
@@ -11,12 +12,13 @@ def items(n, seed=3):
     return [(i, f"{prose(seed * 100 + i, r.randint(12, 50))}. {prose(seed * 200 + i, r.randint(1, 12))}.") for i in range(n)]
 
 
-def scores(index, window_terms):
+def scores(part, window_terms):
     """Plain BM25 share of every unit."""
-    total = {}
-    for t in set(window_terms):
-        for unit, impact in index.postings[t]:
-            total[unit] = total.get(unit, 0) + impact
+    total, known = {}, set(window_terms)
+    for entry, a, b in zip(part.entries, part.first, part.first[1:]):
+        if entry // part.n_blocks in known:
+            for unit, impact in zip(part.units[a:b].tolist(), part.impacts[a:b].tolist()):
+                total[unit] = total.get(unit, 0) + impact
     return {u: round(x, 9) for u, x in total.items() if x >= 1 - 1e-9}
 
 
@@ -35,22 +37,53 @@ def test_wand_finds_all_above_the_bar():
     found = 0
     for _ in range(200):
         terms = sorted({r.randrange(len(index.vocabulary)) for _ in range(r.randint(1, 90))})
-        want = scores(index, terms)
-        got = d.wand(index, terms, set(range(index.n_blocks)))
-        assert {u: round(x, 9) for u, x in got} == want
-        found += len(want)
+        for part in index.parts:
+            want = scores(part, terms)
+            got = d.wand(part, np.array(terms), list(range(part.n_blocks)))
+            assert {u: round(x, 9) for u, x in got} == want
+            found += len(want)
     assert found > 50
 
 
 def test_closed_blocks_hold_nothing_above_the_bar():
-    import numpy as np
-
     index = index_of(items(60), 0.3)
     r = random.Random(5)
     for _ in range(100):
         terms = np.array(sorted({r.randrange(len(index.vocabulary)) for _ in range(40)}))
-        blocks = {b for _, b in d.open_blocks(index, np.zeros(len(terms), int), terms)}
-        assert {u // d.BLOCK for u in scores(index, terms.tolist())} <= blocks
+        for part in index.parts:
+            blocks = {b for _, b in d.open_blocks(part, np.zeros(len(terms), int), terms)}
+            assert {u // d.BLOCK for u in scores(part, terms.tolist())} <= blocks
+
+
+def test_common_words_are_not_run_through():
+    """Many windows at once: open blocks as by adding up every list, with far fewer entries read."""
+    common = [f"c{i}" for i in range(8)]
+    r = random.Random(6)
+    own = []
+    for i in range(900):
+        words = [w for w in prose(i, 24).split()] + r.choices(common, k=8) + [f"rare{i}", f"rare{i // 3}"]
+        r.shuffle(words)
+        own.append((i, " ".join(words)))
+    index = index_of(own, 0.6)
+    assert len(index.parts) >= 1
+    windows, words = [], []
+    for k in range(40):
+        ids = {index.vocabulary[w] for w in d.words_of(own[k][1]) + common if w in index.vocabulary}
+        ids |= {r.randrange(len(index.vocabulary)) for _ in range(20)}
+        windows += [k] * len(ids)
+        words += sorted(ids)
+    windows, words = np.array(windows), np.array(words)
+    read = every = 0
+    for part in index.parts:
+        want = {}
+        for w, t in zip(windows.tolist(), words.tolist()):
+            for e in range(part.word_first[t], part.word_first[t + 1]):
+                cell = w, int(part.entries[e] % part.n_blocks)
+                want[cell] = want.get(cell, 0) + part.block_max[e]
+        assert set(d.open_blocks(part, windows, words)) == {c for c, x in want.items() if x >= 1 - 1e-9}
+        read += len(d.asked_entries(part, windows, words)[1])
+        every += int((part.word_first[words + 1] - part.word_first[words]).sum())
+    assert 0 < read < every / 3
 
 
 @pytest.fixture(scope="module")

@@ -15,11 +15,11 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator_and_the_pipeline():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op3_chat"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op3_chat", "op11_prefix_trie", "op13_merkle"])
 def test_query_equals_its_sql(spark, name):
     assert difference(spark, duck(SF), SF, name) is None
 
@@ -67,6 +67,31 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path, odd_texts):
+    """Nulls in every column, odd and repeated texts, repeated rows, ties of ids, and clashing names."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = [(100_000 + i, t, "en", None if i % 2 else "s", None) for i, t in enumerate(odd_texts)]
+    odd += [(None, None, None, None, None)] * 3 + [(100_000, "another text under the same id", "en", "s", 1), (None, "no id here", None, "s", 2)]
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema))
+    docs = docs.selectExpr("*", "'a' as shard", "'b' as slot", "'c' as fp", "'d' as digest", "'e' as row_digest", "'f' as place")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns[:5], "shard_", "slot_", *docs.columns[7:], "shard", "slot"]
+    rows = out.collect()
+    assert {(r["shard_"], r["slot_"], r.fp, r.digest, r.row_digest, r.place) for r in rows} == {tuple("abcdef")}
+    kept = {r.doc_id for r in rows}
+    empties = {100_000, 100_001, 100_002, None}  # null, empty and blank texts: one group, its least id stays
+    assert min(i for i in kept if i is not None and i >= 100_000) == 100_000 and len(kept & empties) >= 1
+    assert 100_004 in kept and 100_005 not in kept  # a text twice
+    assert len({(r.doc_id, r.text) for r in rows if r.doc_id in (100_003, 100_006)}) == 2
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run_on_the_smallest_tables(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
