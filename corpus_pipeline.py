@@ -7,7 +7,7 @@
    ``MAX_REPEATS`` times.
 5. sharding: a global shuffle into ``SHARDS`` shards, with ``shard`` and ``slot`` added.
 
-All columns of documents are kept; nulls and empty texts pass as the operators define; an empty table
+All columns of documents are kept; any named ``shard`` or ``slot`` go on as ``shard_`` and ``slot_``. Nulls and empty texts pass as the operators define; an empty table
 passes through.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinfold.llm import decontaminate, mixing, sharding, simhash, toxicity
-from kinfold.llm.common import staged, table
+from kinfold.llm.common import staged, table, unused
 
 SHARDS = 40
 TARGET_ENTROPY = 0.95
@@ -41,6 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    for name in [c for c in docs.columns if c.lower() in ("shard", "slot")]:
+        docs = docs.withColumnRenamed(name, unused(docs, name))
     return sharding.shard(docs, SHARDS)
 
 
