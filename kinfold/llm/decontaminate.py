@@ -42,6 +42,8 @@ SHINGLE = 5
 OVERLAP = 0.8
 BLOCK = 8
 K1, B = 1.2, 0.75
+#: Words times blocks of a part up to which largest impacts are looked up in a table instead of a search.
+TABLE = 1 << 21
 #: Words of texts that are searched together.
 BATCH_WORDS = 100_000
 
@@ -150,12 +152,14 @@ class Part:
     unit_item: list[int]  # unit -> place in items
     n_blocks: int
     entries: np.ndarray
+    block: np.ndarray  # entry -> its block
     first: np.ndarray  # one more than entries
     block_max: np.ndarray
     word_max: np.ndarray  # word -> largest impact
     word_first: np.ndarray  # word -> its first entry, one more than words
     units: np.ndarray
     impacts: np.ndarray
+    table: np.ndarray | None  # number -> largest impact, where there are few numbers
 
 
 @dataclass
@@ -204,7 +208,13 @@ def build_part(units: list[tuple[int, dict[int, float]]], n_words: int) -> Part:
     word_max = np.zeros(n_words)
     np.maximum.at(word_max, entries // n_blocks, block_max)
     first = np.append(first, len(unit))
-    return Part([place for place, _ in units], n_blocks, entries, first, block_max, word_max, word_first, unit, impact)
+    table = None
+    if n_words * n_blocks <= TABLE:
+        table = np.zeros(n_words * n_blocks)
+        table[entries] = block_max
+    return Part(
+        [place for place, _ in units], n_blocks, entries, entries % n_blocks, first, block_max, word_max, word_first, unit, impact, table
+    )
 
 
 def units_of(words: list[str]) -> list[list[str]]:
@@ -230,6 +240,14 @@ def asked_entries(part: Part, windows: np.ndarray, words: np.ndarray) -> tuple[n
     return np.repeat(windows[needed], n), at, needed
 
 
+def looked_up(part: Part, asked: np.ndarray) -> np.ndarray:
+    """The largest impacts of entries by number, 0 for entries that there aren't."""
+    if part.table is not None:
+        return part.table[asked]
+    found = np.minimum(np.searchsorted(part.entries, asked), len(part.entries) - 1)
+    return np.where(part.entries[found] == asked, part.block_max[found], 0.0)
+
+
 def open_blocks(part: Part, windows: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
     """``(window, block)`` pairs whose block maxima reach the bar, given distinct (window, word) pairs
     sorted by window."""
@@ -238,8 +256,11 @@ def open_blocks(part: Part, windows: np.ndarray, words: np.ndarray) -> list[tupl
     window, at, needed = asked_entries(part, windows, words)
     if not len(at):
         return []
-    cells, place = np.unique(window * part.n_blocks + part.entries[at] % part.n_blocks, return_inverse=True)
-    bound = np.bincount(place, part.block_max[at])
+    asked = window * part.n_blocks + part.block[at]
+    order = np.argsort(asked, kind="stable")
+    asked, largest = asked[order], part.block_max[at][order]
+    starts = np.flatnonzero(np.append(True, asked[1:] != asked[:-1]))
+    cells, bound = asked[starts], np.add.reduceat(largest, starts)
     # what the common words may add at most, then what they add in these blocks
     common_windows, common = windows[~needed], words[~needed]
     owners = cells // part.n_blocks
@@ -251,9 +272,7 @@ def open_blocks(part: Part, windows: np.ndarray, words: np.ndarray) -> list[tupl
     pair = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
     cell = np.repeat(np.arange(len(cells)), n)
     asked = common[pair] * part.n_blocks + cells[cell] % part.n_blocks
-    found = np.minimum(np.searchsorted(part.entries, asked), len(part.entries) - 1)
-    added = np.where(part.entries[found] == asked, part.block_max[found], 0.0)
-    bound = bound + np.bincount(cell, added, len(cells))
+    bound = bound + np.bincount(cell, looked_up(part, asked), len(cells))
     return [divmod(int(c), part.n_blocks) for c in cells[bound >= 1 - 1e-9]]
 
 
@@ -316,7 +335,8 @@ def search(index: Index, texts: list[list[str]], threshold: float) -> list[list[
         known += n + 1
     last, term = np.concatenate(windows or [np.zeros(0, np.int64)]), np.concatenate(terms or [np.zeros(0, np.int64)])
     size = len(index.vocabulary)
-    pairs = np.unique(np.concatenate([last * size + term, (last - 1) * size + term]))
+    pairs = np.sort(np.concatenate([last * size + term, (last - 1) * size + term]))
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
     window, word = pairs // size, pairs % size
     by_window: dict[tuple[int, int], list[int]] = defaultdict(list)
     for k, part in enumerate(index.parts):
