@@ -1,11 +1,14 @@
 """Quality rules: how well a public vocabulary fits a text, beside plain repetition and size rules.
 
 Each text is encoded whole. Measured are characters per token, the share of tokens that are
-fragments of a character (byte fallback) and the entropy of its tokens, corrected for length. Each language's own texts give its bands: median plus or minus ``width`` robust
-spreads, wider for short texts, whose measures scatter more. A language with fewer than ``least``
+fragments of a character (byte fallback) and the entropy of its tokens, corrected for length. Each
+language's own texts give its bands: median plus or minus ``width`` robust spreads, wider for short texts,
+whose measures scatter more. Texts that fail the base rules don't shape them, the spread is that of the
+narrower half of the texts, and the bands are fitted again without the texts far outside, so that junk of
+a sixth of a language, or some more, doesn't make its own bands. A language with fewer than ``least``
 texts takes the bands of its script, a script with fewer those of the whole corpus.
 
-Defined results: one row per input row, in any order; null and empty texts have zero counts, fail
+Defined results: one row per input row, in any order; texts of any length are encoded whole; null and empty texts have zero counts, fail
 the base rules and have null measures; a null language counts as the empty one; repeated rows are
 repeated; other columns are ignored; an empty table gives an empty table.
 """
@@ -129,17 +132,49 @@ def measure(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
     )
 
 
-def bands(measured: DataFrame, least: int) -> DataFrame:
-    """``lang, script`` with the centre and spread of each measure, from the finest group that has
-    ``least`` texts. One row per language and script; texts under 32 tokens tell nothing."""
-    groups = measured.where("n_tokens >= 32").groupBy
+#: Texts with fewer tokens don't shape the bands.
+FITTED_TOKENS = 32
+#: Spreads beyond which a text no longer shapes the bands, and how often they are fitted again.
+TRIMMED, ROUNDS = 4.0, 2
+#: Least spread of each measure.
+LEAST_SPREAD = {"chars_per_token": 0.05, "fragment_share": 0.01, "token_entropy": 0.05}
+
+
+def off(m: str) -> Column:
+    """Distance from the centre of the band in spreads, which are wider for texts of few tokens.
+
+    The spread is that of the narrower half of the texts: junk lies on one side of the others, so that
+    the other half tells how far these scatter.
+    """
+    q = F.col(f"band_{m}")
+    half = F.least(q[1] - q[0], q[2] - q[1]) / 0.6745
+    scatter = F.sqrt(1 + F.lit(256.0) / F.greatest(F.col("n_tokens"), F.lit(1)))
+    return (F.col(m) - q[1]) / (F.greatest(half, F.lit(LEAST_SPREAD[m])) * scatter)
+
+
+def fits(width: float) -> Column:
+    """Whether a text lies within the bands; null without tokens."""
+    return (
+        (F.abs(off("chars_per_token")) <= width)
+        & (off("fragment_share") <= width)
+        & (F.abs(off("token_entropy")) <= width)
+    )
+
+
+def with_bands(measured: DataFrame, band: DataFrame) -> DataFrame:
+    if skew.broadcastable(band):
+        band = F.broadcast(band)
+    return measured.join(band, ["lang", "script"], "left")
+
+
+def fit_bands(fitted: DataFrame, keys: DataFrame, least: int) -> DataFrame:
+    """Quartiles of each measure per language and script, from the finest group that has ``least`` texts."""
     quartiles = [
         F.percentile(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(m) for m in MEASURES
     ]
-    whole = groups().agg(*quartiles).first()
-    script = groups("script").agg(F.count("*").alias("n"), *quartiles)
-    lang = groups("lang", "script").agg(F.count("*").alias("n"), *quartiles)
-    keys = measured.select("lang", "script").distinct()
+    whole = fitted.agg(*quartiles).first()
+    script = fitted.groupBy("script").agg(F.count("*").alias("n"), *quartiles)
+    lang = fitted.groupBy("lang", "script").agg(F.count("*").alias("n"), *quartiles)
     joined = (
         keys.join(lang.select("lang", "script", F.struct("n", *MEASURES).alias("l")), ["lang", "script"], "left")
         .join(script.select("script", F.struct("n", *MEASURES).alias("s")), "script", "left")
@@ -153,13 +188,30 @@ def bands(measured: DataFrame, least: int) -> DataFrame:
             .otherwise(corpus)
         )
 
-    return joined.select("lang", "script", *[chosen(m).alias(f"band_{m}") for m in MEASURES])
+    return staged(joined.select("lang", "script", *[chosen(m).alias(f"band_{m}") for m in MEASURES]), "bands")
+
+
+def bands(measured: DataFrame, least: int) -> DataFrame:
+    """One row per language and script: the bands of texts that pass the base rules, fitted again without
+    the texts that lie far outside them, so that junk doesn't shape its own bands."""
+    fitted = measured.where((F.col("n_tokens") >= FITTED_TOKENS) & ~base_failed())
+    keys = measured.select("lang", "script").distinct()
+    band = fit_bands(fitted, keys, least)
+    for _ in range(ROUNDS):
+        inside = with_bands(fitted, band).where(fits(TRIMMED)).select(*measured.columns)
+        band = fit_bands(inside, keys, least)
+    return band
+
+
+def base_failed() -> Column:
+    """Under 10 words, or more than a fifth of them in repeated windows."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
 def quality(
     docs: DataFrame,
     vocabulary_path: str = f"{vocabulary.TOKENIZERS}/byte_bpe_multi_50k.tiktoken",
-    width: float = 8.0,
+    width: float = 6.0,
     least: int = 200,
 ) -> DataFrame:
     """One row per text: base counts, base verdict, token measures and ``kept``.
@@ -180,24 +232,8 @@ def quality(
         ),
         "fertility",
     )
-    band = staged(bands(measured, least), "bands")
-    if skew.broadcastable(band):
-        band = F.broadcast(band)
-    scatter = F.sqrt(1 + F.lit(256.0) / F.greatest(F.col("n_tokens"), F.lit(1)))
-
-    def off(m: str, least_spread: float) -> Column:
-        """Distance from the centre in spreads."""
-        q = F.col(f"band_{m}")
-        spread = F.greatest((q[2] - q[0]) / 1.349, F.lit(least_spread))
-        return (F.col(m) - q[1]) / (spread * scatter)
-
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    fits = (
-        (F.abs(off("chars_per_token", 0.05)) <= width)
-        & (off("fragment_share", 0.01) <= width)
-        & (F.abs(off("token_entropy", 0.05)) <= width)
-    )
-    return measured.join(band, ["lang", "script"], "left").select(
+    failed = base_failed()
+    return with_bands(measured, bands(measured, least)).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -205,7 +241,7 @@ def quality(
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & F.coalesce(fits, F.lit(True))).alias("kept"),
+        (~failed & F.coalesce(fits(width), F.lit(True))).alias("kept"),
         "script",
         "n_tokens",
         *MEASURES,

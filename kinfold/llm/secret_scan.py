@@ -1,15 +1,16 @@
 """Secrets: fixed patterns, and a battery of randomness tests on every other long token.
 
 A token that fits a known encoding is read as a sequence of symbols and tested against the
-hypothesis "uniformly random": a chi-squared test of alphabet uniformity, a runs test and a lag-1
-serial-correlation test, joined by Fisher's method. Random tokens have uniform p-values, ordinary
+hypothesis "uniformly random": a chi-squared test of alphabet uniformity, a runs test, a lag-1
+serial-correlation test and a serial test of repeated pairs, joined by Fisher's method. Random tokens have uniform p-values, ordinary
 ones small ones. A run of token characters is cut at every ``=`` that does not end it; what stands
 between is tested whole, by its segments between slashes, and by theirs between other marks, so that
 a key is not diluted by the name or path before it. The outermost accepted one is the span. Tokens
 without digits are read in alphabets of their own. For each encoding and length class the corpus-wide p-value histogram says how many
 tokens are random (Storey's estimate from the upper half), and the smallest p-value is accepted at
 which the estimated share of ordinary tokens among the accepted stays under ``max_false``. Where a
-class holds too few tokens for that, its neighbours are counted with it.
+class holds too few tokens for that, its neighbours are counted with it, and other encodings only if
+its own has few tokens at all.
 
 Defined results: one row per input row, in any order; null or empty texts have no spans; repeated
 rows are repeated; other columns are ignored; an empty table gives an empty table.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,7 +66,7 @@ ENCODINGS = (
     ("base64url", UPPER + LOWER + DIGITS + "-_", 64),
 )
 BINS = 20
-ENOUGH, FEW = 100, 10
+ENOUGH, FEW, FEW_TOKENS = 100, 10, 30
 SCHEMA = (
     "doc_id long, base array<struct<start:int,kind:int,end:int>>,"
     " tested array<struct<start:int,end:int,stratum:int,p:double,around:array<struct<stratum:int,p:double>>>>"
@@ -133,6 +135,20 @@ def serial(values: np.ndarray) -> float:
     return math.erfc(abs(r + 1 / n) * math.sqrt(n) / math.sqrt(2))
 
 
+def repeated_pairs(values: np.ndarray, size: int, token: str) -> float:
+    """Serial test of pairs: how many neighbouring pairs of symbols are equal to another one, which random
+    symbols seldom have and words often; Poisson, with equal outcomes spread by a hash of the token."""
+    n = len(values) - 1
+    seen = np.unique(values[:-1] * size + values[1:], return_counts=True)[1]
+    found, expected = int((seen * (seen - 1) // 2).sum()), n * (n - 1) / 2 / size**2
+    own, above = math.exp(-expected), 1.0
+    for k in range(found + 1):
+        above -= own
+        if k < found:
+            own *= expected / (k + 1)
+    return min(1.0, max(above, 0.0) + (zlib.crc32(token.encode()) + 0.5) / 2**32 * own)
+
+
 def battery(token: str) -> tuple[int, float] | None:
     """Encoding number and joint p-value, or None when no alphabet fits."""
     body = token.rstrip("=")
@@ -142,9 +158,10 @@ def battery(token: str) -> tuple[int, float] | None:
     for number, (_, alphabet, _) in enumerate(ENCODINGS):
         if letters <= set(alphabet):
             values = np.array([alphabet.index(c) for c in body], dtype=float)
-            tests = (uniformity(values, len(alphabet)), runs(values, len(alphabet)), serial(values))
+            size = len(alphabet)
+            tests = uniformity(values, size), runs(values, size), serial(values), repeated_pairs(values, size, body)
             half = -sum(math.log(max(p, 1e-300)) for p in tests)
-            return number, math.exp(-half) * (1 + half + half * half / 2)
+            return number, math.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6)
     return None
 
 
@@ -191,7 +208,7 @@ def measure(batch: pa.RecordBatch, min_bits: int) -> pa.RecordBatch:
 
 def pools(strata: list[int], own: int) -> Iterator[tuple[list[int], int]]:
     """The stratum, then with ever more neighbouring lengths of its encoding, then with all encodings,
-    each with the tokens that its upper half must hold."""
+    each with the tokens that its upper half must hold, or the whole encoding be."""
     lengths = [x for x in strata if x // 1000 == own // 1000]
     reach, widest = 0, max(abs(x - own) for x in lengths)
     while reach < widest:
@@ -205,10 +222,10 @@ def cut_offs(histogram: list[Row], max_false: float) -> dict[int, float]:
     """The smallest accepted p-value of each stratum under the false-discovery bound.
 
     A stratum's estimate is made from the smallest of its pools whose upper half holds ``ENOUGH``
-    tokens, that of all encodings only if its own holds under ``FEW``. The upper half counts one more
-    (the finite-sample form of the estimate) and one standard error of the estimate is allowed, which
-    tells where tokens are few and vanishes where they are many; neither goes for the lowest bin, where
-    the ordinary tokens are."""
+    tokens, that of all encodings only if its own holds under ``FEW`` of ``FEW_TOKENS`` at most. The upper
+    half counts one more (the finite-sample form of the estimate), but not for the lowest bin, where
+    ordinary tokens are. Where that bin holds no more than chance would put there, nothing speaks for
+    ordinary tokens, and three standard errors of the estimate are allowed."""
     by_stratum: dict[int, np.ndarray] = {}
     for row in histogram:
         by_stratum.setdefault(row["stratum"], np.zeros(BINS))[row["bin"]] = row["n"]
@@ -217,12 +234,14 @@ def cut_offs(histogram: list[Row], max_false: float) -> dict[int, float]:
         for pool, needed in pools(strata, stratum):
             counts = sum(by_stratum[x] for x in pool)
             upper = counts[BINS // 2 :].sum()
-            if upper >= needed:
+            if upper >= needed or (needed == FEW and counts.sum() >= FEW_TOKENS):
                 break
+        by_chance = counts[1:].sum() / (BINS - 1)
+        even = counts[0] <= by_chance + 3 * math.sqrt(max(by_chance, 1.0))
         for b in range(BINS):
             accepted, share = counts[b:].sum(), 1 - b / BINS
             random = 2 * (upper + (b > 0)) * share
-            error = math.sqrt(upper * max(2 * share - 1, 0) * 2 * share) if b else 0
+            error = 3 * math.sqrt(upper * max(2 * share - 1, 0) * 2 * share) if even else 0
             if accepted and accepted - random <= max_false * accepted + error:
                 cuts[stratum] = b / BINS
                 break

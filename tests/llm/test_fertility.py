@@ -1,7 +1,9 @@
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from kinfold.llm import fertility as f
 from kinfold.llm import vocabulary
@@ -61,3 +63,20 @@ def test_empty_table_null_languages_and_clashing_names(spark):
     assert f.quality(spark.createDataFrame([], schema)).collect() == []
     docs = spark.createDataFrame([(None, None, None, "q", 1, 2), (None, prose(1, 40), None, "q", 1, 2)], schema)
     assert sorted(r.n_words for r in f.quality(docs).collect()) == [0, 40]
+
+
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.16])
+def test_junk_does_not_make_its_own_bands(make_docs, share):
+    """Words of random letters or hex digits, 12 to 200 of them, beside ordinary texts of all lengths."""
+    r = random.Random(6)
+    clean = [prose(i, r.choice([30, 60, 120, 300])) for i in range(600)]
+    junk = []
+    for i in range(int(len(clean) * share / (1 - share)) + 1):
+        alphabet = r.choice(["abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"])
+        n = r.choice([12, 25, 50, 200])
+        junk.append((n, " ".join("".join(r.choices(alphabet, k=r.randint(3, 9))) for _ in range(n))))
+    rows = {x.doc_id: x for x in f.quality(make_docs(clean + [t for _, t in junk])).collect()}
+    assert sum(rows[i].kept for i in range(600)) >= 590
+    long = [i for i, (n, _) in enumerate(junk) if n >= 25]
+    assert sum(rows[600 + i].kept for i in long) <= 0.05 * len(long)
+    assert sum(rows[600 + i].kept for i in range(len(junk))) <= 0.3 * len(junk)

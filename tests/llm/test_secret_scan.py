@@ -137,3 +137,48 @@ def test_few_random_tokens_are_accepted_and_ordinary_ones_are_not():
     ordinary, random = rng.random(20_000) ** 8, rng.random(2000)
     strata = np.concatenate([rng.integers(9040, 9060, 20_000), rng.integers(8040, 8060, 2000)])
     assert accepted(np.concatenate([ordinary, random]), strata) < 0.4
+
+
+def tokens_of_texts(texts):
+    """``(stratum, p)`` of everything that is tested in the texts."""
+    tested = []
+    for text in texts:
+        spans = s.base_spans(text)
+        for m in s.TOKEN.finditer(text):
+            near = [x for x in spans if x[0] < m.end() and m.start() < x[2]]
+            tested += [(r["stratum"], r["p"]) for r in s.candidates(text, m.start(), m.end(), 0, 80, near, [])]
+    return tested
+
+
+def test_false_share_with_the_words_of_the_corpus():
+    """The bound on false spans holds on whole texts with few planted keys and with many."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import Row
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()
+    ordinary = tokens_of_texts([t for t in texts if t])
+    for n in (0, 5, 40, 400):
+        all_found = 0
+        for seed in range(4):
+            rng = np.random.default_rng(seed)
+            keys = [random_token(rng, s.UPPER + s.LOWER + s.DIGITS, 40) for _ in range(n)]
+            planted = tokens_of_texts([f"key {k} end" for k in keys])
+            counts = {}
+            for x, p in ordinary + planted:
+                key = x, min(int(p * s.BINS), s.BINS - 1)
+                counts[key] = counts.get(key, 0) + 1
+            cuts = s.cut_offs([Row(stratum=x, bin=b, n=c) for (x, b), c in counts.items()], 0.05)
+            false, found = (sum(p >= cuts.get(x, 2) for x, p in rows) for rows in (ordinary, planted))
+            assert false <= 0.05 * (false + found), (n, seed, false, found)
+            all_found += found
+        # of one draw of 40 some lie below any cut by chance
+        assert n < 40 or all_found >= 0.9 * 4 * n, (n, all_found)
+
+
+def test_repeated_pairs_tell_words_from_random_letters():
+    rng = np.random.default_rng(3)
+    random = [s.repeated_pairs(rng.integers(0, 26, 30).astype(float), 26, str(i)) for i in range(3000)]
+    for x in (0.1, 0.5, 0.9):
+        assert abs(np.mean([p <= x for p in random]) - x) < 0.04
+    word = "ungeschicklichkeitundlichkeit"
+    assert s.repeated_pairs(np.array([ord(c) - 97.0 for c in word]), 26, word) < 1e-6
