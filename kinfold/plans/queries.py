@@ -169,6 +169,25 @@ def html_table_rows(spark, sf_dir):
     return rows.select("page_id", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
+def ingest_json_split(spark, sf_dir):
+    """Supplier fragments as one large payload document per range of rows, read back in splits."""
+    workspace = Workspace(spark)
+    columns = list(fixed.DEFAULT_MAPPINGS["B"])
+    raw = driver_tables.raw_source(spark, sf_dir, "B").repartitionByRange("ordinal").sortWithinPartitions("ordinal")
+    part = F.lpad(F.spark_partition_id().cast("string"), 9, "0")
+    rows = raw.select(part.alias("part"), F.monotonically_increasing_id().alias("at"), F.to_json(F.struct(*columns)).alias("value"))
+    rows = workspace.stage(rows, "documents")
+    ends = rows.groupBy("part").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    head = F.when(F.col("at") == F.col("first"), '{"generatedAt": "now", "records": [').otherwise(", ")
+    tail = F.when(F.col("at") == F.col("last"), "]}").otherwise("")
+    text = rows.join(ends, "part").select("part", "at", F.concat(head, "value", tail).alias("value"))
+    path = f"{workspace.path}/export-documents"
+    in_order = text.repartition("part").sortWithinPartitions("part", "at")
+    in_order.select("part", "value").write.partitionBy("part").text(path)
+    read = payload.read_json(spark, f"{path}/*", columns, workspace, split=True)
+    return standardize(read, "B").select("id", *FIELDS, "block_key")
+
+
 def ingest_html(spark, sf_dir):
     columns = list(fixed.DEFAULT_MAPPINGS["C"])
     rows = markup.read_html(page_corpus(spark, sf_dir), columns, Workspace(spark))
@@ -198,15 +217,16 @@ def entity_tables_sink(spark, sf_dir):
 
 
 def files_to_tables(spark, sf_dir):
-    """All sources as files, unified, published, and the entities read back from the published version."""
+    """All sources as files, unified, published, and the entities read back from the published version.
+    Pages are rows of larger files, as crawls store them; ``read_pages`` reads one page per file."""
     workspace = Workspace(spark)
     a, b, c = (list(fixed.DEFAULT_MAPPINGS[s]) for s in fixed.SOURCES)
     pages = f"{workspace.path}/export-pages"
-    page_corpus(spark, sf_dir).repartition("page_id").write.partitionBy("page_id").text(pages)
+    page_corpus(spark, sf_dir).write.parquet(pages)
     raws = {
         "A": delimited.read_csv(spark, f"{export_csv(spark, sf_dir, workspace)}/*", a, workspace),
         "B": payload.read_json(spark, f"{export_json(spark, sf_dir, workspace)}/*", b, workspace),
-        "C": markup.read_html(markup.read_pages(spark, f"{pages}/*"), c, workspace).drop("page_id", "row_no"),
+        "C": markup.read_html(spark.read.parquet(pages), c, workspace).drop("page_id", "row_no"),
     }
     unified = unify_sources(raws, workspace)
     sinks.publish(unified, f"{workspace.path}/published")
@@ -608,6 +628,7 @@ def queries():
         "ingest_csv": ingest_csv,
         "ingest_csv_multi_line": ingest_csv_multi_line,
         "ingest_json": ingest_json,
+        "ingest_json_split": ingest_json_split,
         "html_table_rows": html_table_rows,
         "ingest_html": ingest_html,
         "all_records": all_records,

@@ -316,6 +316,7 @@ def oracle_sql() -> dict[str, str]:
     q["ingest_csv"] = renumbered("A")
     q["ingest_csv_multi_line"] = q["ingest_csv"]
     q["ingest_json"] = renumbered("B")
+    q["ingest_json_split"] = q["ingest_json"]
     q["html_table_rows"] = PAGES_ + "select page_id, row_no, array_to_string(cells, '|') as cells from kept"
     q["ingest_html"] = renumbered("C")
     q["all_records"] = STD_ + "select id, source, ordinal from std"
