@@ -119,6 +119,41 @@ def test_components_of_random_graphs(spark, workspace, heavy_rows):
     assert {r.node: r.root for r in got} == label
 
 
+def test_rounds_run_on_long_chains_only(spark, workspace, monkeypatch):
+    """Records within two hubs of their entity's first need no round, however many; heavy hubs neither."""
+    rows = []
+    for e in range(200):
+        shared = [(f"a{e}@x.org", ""), (f"a{e}@x.org", f"n{e}"), ("", f"n{e}")]
+        rows += [("A", 10 * e + i, f"Firm{e % 7} Foods", name, email, "", "") for i, (email, name) in enumerate(shared)]
+    chain = [(f"c{i // 2}@x.org", f"m{(i + 1) // 2}") for i in range(16)]
+    rows += [("B", i, "Chain Media", name, email, "", "") for i, (email, name) in enumerate(chain)]
+    plain, df = as_records(spark, rows)
+    given = []
+    original = clustering.small_star
+
+    def spied(edges, n_edges, heavy_rows):
+        given.append(n_edges)
+        return original(edges, n_edges, heavy_rows)
+
+    monkeypatch.setattr(clustering, "small_star", spied)
+    unified = unify_records(df, workspace)
+    assert merged_as_dict(unified) == brute_force.merge(plain)
+    assert max(given) <= 2 * len(chain)
+    given.clear()
+    assert merged_as_dict(unify_records(df.where("source = 'A'"), workspace)) == brute_force.merge(plain[:600])
+    assert not given
+
+
+def test_nothing_heavy_is_planned_where_no_key_is(spark):
+    df = spark.range(200).selectExpr("id % 50 as k", "id").cache()
+    ordinary, heavy = skew.split_heavy(df, "k", 200, heavy_rows=4)
+    assert heavy is None and ordinary.count() == 200
+    right = df.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    joined = skew.lookup_join(df, right, ["k"], "n", 200, heavy_rows=4)
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert skew.split_heavy(df, "k", 200, heavy_rows=3)[1].count() == 200
+
+
 def test_what_links_and_what_does_not(spark, workspace):
     rows = [
         ("A", 1, "Zen Tools", "Ann Lee", "a@x.org", "", ""),
