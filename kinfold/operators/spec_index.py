@@ -13,8 +13,10 @@ ones; rows of the table never do.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -124,11 +126,16 @@ class SpecIndex:
             ]
         return F.array_compact(F.array(*parts))
 
+    def folded(self) -> dict[str, Column]:
+        """The lower-case texts that LIKE predicates of entries look at, one column each."""
+        asked = {f.column for entered in self.entries.values() for _, left in entered for f in left if f.op == "LIKE"}
+        return {f"_low_{c}": standard.fold_ascii(F.col(c).cast("string")) for c in sorted(asked)}
+
     def table(self, spark) -> DataFrame:
         """One row per entry: whether a spec asks nothing else, and the specs that do."""
         rows = []
         for key, entered in self.entries.items():
-            more = [(n, [(f.column, f.op, f.value, numeric(f.value)) for f in left]) for n, left in entered if left]
+            more = [(n, [predicate(f) for f in left]) for n, left in entered if left]
             rows.append((key, len(more) < len(entered), more))
         return spark.createDataFrame(rows, ENTRY)
 
@@ -166,12 +173,19 @@ def cell_of(column: str, bounds: list) -> Column:
     return F.when(value.isNotNull(), not_above * 2 - on_bound.cast("int"))
 
 
-def holds(p: Column) -> Column:
-    """Whether a row satisfies a predicate given as data."""
+def predicate(f: Filter) -> tuple[str, str, str, float | None]:
+    """A filter as data: ``(column, op, value, number)``. LIKE becomes HAS, a plain search, where its value
+    has no wildcard."""
+    if f.op != "LIKE":
+        return f.column, f.op, f.value, numeric(f.value)
+    value = f.value.translate(ASCII_LOWER)
+    if not re.search(r"[%_\\]", value):
+        return f.column, "HAS", value, None
+    return f.column, "LIKE", "%" + value.replace("\\", "\\\\") + "%", None
+
 
-    def pick(of):
-        cases = [F.when(p["column"] == c, of(c)) for c in ACCESS_COLUMNS if c != "confidence"]
-        return F.coalesce(*cases)
+def holds(p: Column, folded: Collection[str]) -> Column:
+    """Whether a row satisfies a predicate given as data; ``folded`` are its columns of lower-case texts."""
 
     def compared(left: Column, right: Column) -> Column:
         return (
@@ -183,20 +197,20 @@ def holds(p: Column) -> Column:
             .when(p["op"] == "<=", left <= right)
         )
 
-    text = F.when(p["column"] == "confidence", F.col("confidence").cast("string")).otherwise(pick(F.col))
-    pattern = F.concat(F.lit("%"), F.translate(F.replace(p["value"], F.lit("\\"), F.lit("\\\\")), *_folding()), F.lit("%"))
-    matched = (
-        F.when(p["op"] == "LIKE", F.like(standard.fold_ascii(text), pattern))
-        .when(p["column"] == "confidence", compared(F.col("confidence"), p["number"]))
-        .otherwise(compared(text, p["value"]))
+    text = F.coalesce(*[F.when(p["column"] == c, F.col(c)) for c in ACCESS_COLUMNS if c != "confidence"])
+    matched = F.when(p["column"] == "confidence", compared(F.col("confidence"), p["number"])).otherwise(
+        compared(text, p["value"])
     )
+    if folded:
+        low = F.coalesce(*[F.when(p["column"] == c.removeprefix("_low_"), F.col(c)) for c in folded])
+        matched = (
+            F.when(p["op"] == "HAS", F.contains(low, p["value"]))
+            .when(p["op"] == "LIKE", F.like(low, p["value"]))
+            .otherwise(matched)
+        )
     return F.coalesce(matched, F.lit(False))
 
 
-def _folding() -> tuple[str, str]:
-    return "".join(map(chr, ASCII_LOWER)), "".join(map(chr, ASCII_LOWER.values()))
-
-
 def count_spec_table(entities: DataFrame, table: DataFrame) -> DataFrame:
     """``(question, count)`` of every row of a table of count specs."""
     spark, specs = entities.sparkSession, read_specs(table)
@@ -205,11 +219,12 @@ def count_spec_table(entities: DataFrame, table: DataFrame) -> DataFrame:
     parts = []
     if index.entries:
         columns = [F.col(c) for c in ACCESS_COLUMNS]
-        placed = entities.select(*columns).withColumns(index.cells())
-        met = placed.select(*columns, F.explode(index.keys()).alias("key")).join(
+        folded = index.folded()
+        placed = entities.select(*columns).withColumns(index.cells() | folded)
+        met = placed.select(*columns, *folded, F.explode(index.keys()).alias("key")).join(
             F.broadcast(index.table(spark)), "key"  # of at most MAX_SPECS specs
         )
-        kept = F.filter("specs", lambda s: F.forall(s["rest"], holds))
+        kept = F.filter("specs", lambda s: F.forall(s["rest"], lambda p: holds(p, folded)))
         marks = F.concat(
             F.when(F.col("alone"), F.array(F.struct("key", F.lit(None).cast("int").alias("spec")))).otherwise(F.array()),
             F.transform(kept, lambda s: F.struct(F.lit(None).cast("string").alias("key"), s["spec"].alias("spec"))),

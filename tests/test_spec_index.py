@@ -66,6 +66,13 @@ def test_refused_tables(spark, entities, rows):
         count_spec_table(entities, spark.createDataFrame(rows, SPEC_TABLE))
 
 
+def test_plain_searches_need_no_pattern():
+    assert spec_index.predicate(Filter("phone", "LIKE", "A1")) == ("phone", "HAS", "a1", None)
+    assert spec_index.predicate(Filter("phone", "LIKE", "")) == ("phone", "HAS", "", None)
+    assert spec_index.predicate(Filter("company", "LIKE", "B%_\\")) == ("company", "LIKE", "%b%_\\\\%", None)
+    assert spec_index.predicate(Filter("confidence", ">", "0.5")) == ("confidence", ">", "0.5", 0.5)
+
+
 def test_dyadic_intervals_cover_exactly():
     for low in range(20):
         for high in range(low - 1, 40):
