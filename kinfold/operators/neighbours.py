@@ -55,9 +55,10 @@ def close_pairs(rows: DataFrame, window: int, run_rows: int) -> DataFrame:
         F.lead(F.struct("order_no", own.alias("row")), i).over(in_run) for i in range(2, window)
     ]
     spread = rows.withColumn("home", run).withColumn("run", F.explode(border))
+    # a row beyond the run's end is null, and its order no order
     paired = spread.withColumn("after", F.array(*after)).where("run = home")
-    following = F.filter("after", lambda x: x["order_no"] == F.col("order_no"))
-    return paired.select("order_no", own.alias("a"), F.explode(F.transform(following, lambda x: x["row"])).alias("b"))
+    paired = paired.select(F.col("order_no").alias("own_order"), own.alias("a"), F.inline("after").alias("order_no", "b"))
+    return paired.where("order_no = own_order").drop("own_order").select("order_no", "a", "b")
 
 
 def evidence() -> dict[str, Column]:
@@ -73,6 +74,9 @@ def evidence() -> dict[str, Column]:
     def words(side: str) -> Column:
         return F.array_distinct(F.array_remove(F.split(f"{side}.canonical", " "), ""))
 
+    # equal names need no word lists, and no distances
+    alike = F.col("a.canonical") == F.col("b.canonical")
+    same_name = F.lower("a.contactName") == F.lower("b.contactName")
     either = F.size(F.array_union(words("a"), words("b")))
     both = F.size(F.array_intersect(words("a"), words("b"))).cast("double")
     return {
@@ -80,8 +84,12 @@ def evidence() -> dict[str, Column]:
         "same_phone": same("phone"),
         "same_contact": same("contactName"),
         "same_state": same("state"),
-        "company_jaccard": F.when(either == 0, 0.0).otherwise(both / either.cast("double")),
-        "name_distance": F.levenshtein(F.lower("a.contactName"), F.lower("b.contactName")),
+        "company_jaccard": F.when(alike, (F.trim("a.canonical") != "").cast("double"))
+        .when(either == 0, 0.0)
+        .otherwise(both / either.cast("double")),
+        "name_distance": F.when(same_name, 0).otherwise(
+            F.levenshtein(F.lower("a.contactName"), F.lower("b.contactName"))
+        ),
     }
 
 

@@ -53,6 +53,18 @@ def test_one_value_for_all_records_stays_linear(spark, workspace):
     assert {r.score for r in pairs.select("score").distinct().collect()} == {1.0}
 
 
+def test_pairs_are_compiled_and_equal_names_are_not_taken_apart(spark, workspace):
+    _, df = as_records(spark, made_up(9, 40))
+    rows = neighbours.sorted_rows(df, neighbours.sort_keys(), workspace)
+    plan = neighbours.close_pairs(rows, 5, 4096)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    names = [("", ""), (" ", " "), ("a b", "a b"), ("a b", "b c"), ("", "a"), (None, "a"), (None, None)]
+    pairs = spark.createDataFrame([((x, "Ann"), (y, "ann")) for x, y in names], "a struct<canonical:string,contactName:string>, b struct<canonical:string,contactName:string>")
+    found = neighbours.evidence()
+    got = pairs.select(found["company_jaccard"], found["name_distance"]).collect()
+    assert [r[0] for r in got[:5]] == [0.0, 0.0, 1.0, 1 / 3, 0.0] and {r[1] for r in got} == {0}
+
+
 def test_recall_of_the_true_entities(spark, workspace):
     """Records joined by pairs of one entity: at least nine of ten records reach their entity's others."""
     records = standardize_all(driver_tables.raw_sources(spark, SF))
