@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions import fixed_values as fixed
-from kinfold.operators.standardize import upsert_latest
+from kinfold.operators import skew
+from kinfold.operators.standardize import raw_to_json, upsert_latest
 from kinfold.operators.workspace import Workspace
 from kinfold.plans import incremental
 from kinfold.plans.unify import unify_records
@@ -75,6 +76,32 @@ def test_records_are_upserted_and_other_files_stay(spark, workspace, tmp_path):
     assert store.read("source_records", second, sorted(moved)).count() < 61
 
 
+def test_a_load_moves_once_on_its_way_into_the_store(spark, workspace, tmp_path, monkeypatch):
+    """Versions of an id meet where their bucket is written: nothing is staged but the load, whatever is hot."""
+    _, df = as_records(spark, made_up(3, 80))
+    lost = numbered(df.where("ordinal < 3").withColumn("id", F.lit(None).cast("string")), 1)
+    again = numbered(df.where("ordinal % 3 = 0").withColumn("state", F.lit("NY")), 2)
+    loads = [numbered(df, 1).unionByName(lost), again.unionByName(again).unionByName(numbered(df.where("ordinal % 4 = 0"), None))]
+    staged, results = [], []
+    original = Workspace.stage
+
+    def spied(self, rows, name):
+        staged.append(name)
+        return original(self, rows, name)
+
+    monkeypatch.setattr(Workspace, "stage", spied)
+    for heavy_rows in (skew.HEAVY_ROWS, 1):
+        monkeypatch.setattr(skew, "HEAVY_ROWS", heavy_rows)
+        store = sinks.record_store(spark, str(tmp_path / f"store{heavy_rows}"), n_buckets=4)
+        for load in loads:
+            version = sinks.upsert_source_records(store, load, workspace)
+        results.append(store.read("source_records", version))
+    assert staged == ["load"] * 4
+    want = upsert_latest(raw_to_json(loads[0].unionByName(loads[1])).select(results[0].columns), "id", "load")
+    for got in results:
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_two_writers_cannot_both_win(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), {"t": ("k", 4)})
     rows = spark.range(20).select(F.col("id").alias("k"), F.lit("a").alias("v"))
