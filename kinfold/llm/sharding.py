@@ -58,7 +58,7 @@ def shard(docs: DataFrame, n_shards: int, seed: int = 1, bucket_bytes: int = 16
     plain = docs.withColumn(digest, row_digest(docs))
     dealt = scattered(plain, digest)
     counts = counted(dealt)
-    overfull = counts.where(F.col("bytes") > 4 * bucket_bytes)
+    overfull = counts.where(F.col("bytes") > 2 * bucket_bytes)
     if not overfull.isEmpty():  # by rows that are alike, or by single texts
         repeated = repeated_digests(dealt, overfull, bucket, digest, bucket_bytes)
         dealt = scattered(number_copies(plain, repeated, digest, copy), digest, copy).drop(copy)
