@@ -153,6 +153,41 @@ def test_empty_store_and_bucket_that_empties(spark, tmp_path):
     assert sorted(r.k for r in store.read("t", version).collect()) == sorted(r.k for r in kept.collect())
 
 
+def test_a_written_change_is_read_back_committed_or_discarded(spark, tmp_path):
+    """Columns aside are in what was written, not in the table; what is discarded leaves no file."""
+    store = Store(spark, str(tmp_path / "s"), {"t": ("k", 4)})
+    rows = spark.range(20).select(F.col("id").alias("k"), F.lit(0).alias("load"), (F.col("id") % 2).alias("mark"))
+    every = store.buckets(rows, "t")
+    written = store.write("t", Change(rows.unionByName(rows), every, "load", ("mark",)))
+    assert store.version() is None and store.read_written(written).where("mark = 1").count() == 10
+    version = store.commit({"t": written}, None)
+    assert store.read("t", version).columns == ["k", "load"] and store.read("t", version).count() == 20
+    before = files(tmp_path)
+    store.discard(store.write("t", Change(rows, every, "load", ("mark",))))
+    assert files(tmp_path) == before
+    with pytest.raises(ValueError, match="not touched"):
+        store.write("t", Change(rows, [0]))
+    none = store.write("t", Change(rows.limit(0), [], "load", ("mark",)))
+    assert store.read_written(none).columns == ["k", "load", "mark"] and store.read_written(none).isEmpty()
+
+
+def test_a_load_writes_its_records_once(spark, tmp_path, monkeypatch):
+    """Payloads are staged as the load, then only written into the store; a load without news leaves no file."""
+    workspace = Workspace(spark, str(tmp_path / "w"))
+    staged, original = [], Workspace.stage
+    monkeypatch.setattr(Workspace, "stage", lambda self, df, name: staged.append((name, df.columns)) or original(self, df, name))
+    store = incremental.open_store(spark, str(tmp_path / "store"), n_buckets=4)
+    plain, df = as_records(spark, [("A", i, f"Firm{i // 4} Tools", f"P{i}", f"m{i // 2}@x.org", "", "NY") for i in range(40)])
+    incremental.apply_load(store, numbered(df, 0), workspace)
+    assert [name for name, columns in staged if "raw" in columns] == ["load"]
+    assert "again" not in [name for name, _ in staged]  # the first load's records are stored as they differ
+    assert store.read("records", store.version()).columns == numbered(df, 0).columns
+    assert unified_of(store, workspace) == brute_force.merge(plain)
+    before = files(tmp_path / "store")
+    assert incremental.apply_load(store, numbered(df, 0), workspace).n_changed == 0
+    assert files(tmp_path / "store") == before
+
+
 def unified_of(store, workspace):
     version = store.version()
     resolved = store.read("resolved", version)
